@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from hearken.functions.instants import instant_us, utc_iso
 from hearken.operators.features import rolling_totals, sparse_features
+from hearken.operators.packed import split_packed
 from hearken.operators.sessions import chunked_sessions
 from hearken.sources.tables import table
 
 PLAY_MS = 30_000
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each act and title packed in the two description fields of the companion files."""
+    lines = table(spark, folder, "apple_history").select("record_id", "track_description", "track_name")
+    return split_packed(lines, key="record_id", fields={"track_description": "track_description", "track_name": "track_name"})
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Album sessions of each listener."""
     plays = table(spark, folder, "streaming_history").where(F.col("ms_played") >= PLAY_MS)
@@ -78,5 +85,5 @@ sums AS (
 SELECT username, strftime(day, '%Y-%m-%d') AS day, total_7d, total_30d, total_7d / 7.0::DOUBLE AS avg_7d, total_30d / 30.0::DOUBLE AS avg_30d FROM sums
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_features": p5_features, "p6_rolling": p6_rolling}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_features": p5_features, "p6_rolling": p6_rolling}
 ORACLES: dict[str, str] = {"p4_found": P4_SQL, "p5_features": P5_SQL, "p6_rolling": P6_SQL}
