@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *, waves: int = 3) -> DataFrame:
+    """A scan spread over all cores before a costly map, where its files make fewer tasks than that.
+
+    Only the placement of rows changes. Large inputs, which have enough tasks of their own, aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * waves) if df.rdd.getNumPartitions() < 2 * cores else df
