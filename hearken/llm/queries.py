@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearken.llm.encode import encode_texts
+from hearken.llm.leaks import leaked
 from hearken.sources.tables import table
 
 
@@ -15,5 +16,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), key="doc_id", text="text", vocabulary="byte_bpe_50k")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a held-out item or a passage of one."""
+    items = table(spark, folder, "eval_items")
+    return leaked(table(spark, folder, "documents"), items, key="doc_id", text="text", item_key="item_id", item_text="text").select("doc_id", "item_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
