@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearken.llm.encode import encode_texts
 from hearken.llm.leaks import leaked
+from hearken.llm.listmatch import map_to_list
 from hearken.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The entry of the tag list that each freely typed tag means, or -1."""
+    entries = table(spark, folder, "tag_buckets")
+    return map_to_list(table(spark, folder, "lastfm"), entries, key="feed_no", value="tag", entry_key="entry_no", entry="entry").select("feed_no", "entry_no")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_texts(table(spark, folder, "documents"), key="doc_id", text="text", vocabulary="byte_bpe_50k")
@@ -22,5 +29,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), items, key="doc_id", text="text", item_key="item_id", item_text="text").select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
