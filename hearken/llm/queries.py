@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearken.llm.encode import encode_texts
+from hearken.llm.hidden import collapsed, copy_classes, copy_pairs
 from hearken.llm.leaks import leaked
 from hearken.llm.listmatch import map_to_list
 from hearken.sources.tables import table
@@ -18,6 +19,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return map_to_list(table(spark, folder, "lastfm"), entries, key="feed_no", value="tag", entry_key="entry_no", entry="entry").select("feed_no", "entry_no")
 
 
+def _copies(spark: SparkSession, folder: str) -> DataFrame:
+    listens = table(spark, folder, "streaming_history")
+    return copy_classes(listens, key="row_no", name="master_metadata_album_artist_name", ignore=["received_at"], required=["ts"])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of listens that are copies but for the writing of the act."""
+    return copy_pairs(_copies(spark, folder), key="row_no")
+
+
+def p7_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Each listen once, with its number of copies."""
+    return collapsed(table(spark, folder, "streaming_history"), _copies(spark, folder), key="row_no")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_texts(table(spark, folder, "documents"), key="doc_id", text="text", vocabulary="byte_bpe_50k")
@@ -29,5 +45,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), items, key="doc_id", text="text", item_key="item_id", item_text="text").select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
