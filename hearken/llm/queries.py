@@ -7,12 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearken.llm.encode import encode_texts
+from hearken.llm.entities import match_records
 from hearken.llm.hidden import collapsed, copy_classes, copy_pairs
 from hearken.llm.leaks import leaked
 from hearken.llm.listmatch import map_to_list
 from hearken.sources.tables import table
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return match_records(
+        table(spark, folder, "streaming_history"),
+        table(spark, folder, "paste300_albums"),
+        key="row_no",
+        act="master_metadata_album_artist_name",
+        album="master_metadata_album_album_name",
+        record_key="list_rank",
+        record_act="artist",
+        record_album="album",
+    )
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Listens of each listed record."""
+    return _records(spark, folder).select("list_rank", "row_no")
+
+
+def p1_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Listens of each listed record with the rule that matched them and its confidence."""
+    return _records(spark, folder)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The entry of the tag list that each freely typed tag means, or -1."""
     entries = table(spark, folder, "tag_buckets")
@@ -45,5 +69,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), items, key="doc_id", text="text", item_key="item_id", item_text="text").select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
