@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hearken.llm.abuse import best_threshold, score_texts
 from hearken.llm.encode import encode_texts
 from hearken.llm.entities import match_records
 from hearken.llm.hidden import collapsed, copy_classes, copy_pairs
 from hearken.llm.leaks import leaked
 from hearken.llm.listmatch import map_to_list
+from hearken.session import cut
 from hearken.sources.tables import table
 
 
@@ -69,5 +72,29 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), items, key="doc_id", text="text", item_key="item_id", item_text="text").select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_found": p9_found}
+def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, float]:
+    scores = cut(score_texts(table(spark, folder, "documents"), key="doc_id", text="text"))
+    return scores, best_threshold(scores, table(spark, folder, "labels"), key="doc_id", label="toxic")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    scores, threshold = _scores(spark, folder)
+    return scores.where(F.col("score") >= threshold).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, and the share of such ones, of each source."""
+    scores, threshold = _scores(spark, folder)
+    docs = table(spark, folder, "documents").select("doc_id", "source").join(scores, "doc_id")
+    hit = (F.col("score") >= threshold).cast("int")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_found"), F.avg(hit).alias("rate"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document."""
+    return score_texts(table(spark, folder, "documents"), key="doc_id", text="text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates, "p10_scores": p10_scores}
 ORACLES: dict[str, str] = {}
