@@ -34,8 +34,34 @@ PASSIVE = ("trackdone", "appload", "fwdbtn")
 ERAS = [("2015-2017", 2015, 2017), ("2018", 2018, 2018), ("2019-2020", 2019, 2020), ("2021-2022", 2021, 2022), ("2023-2024", 2023, 2024), ("2025-2026", 2025, 2026)]
 SEASONS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "fall": (9, 10, 11)}
 WHITE_NOISE = r"(?i)white\s+noise"
-#: Fixed value: marks of recordings that aren't music.
-NON_MUSIC = r"(?i)\b(white noise|pink noise|brown noise|rain sounds|ocean waves|nature sounds|sleep sounds|binaural|asmr|meditation|affirmations|audiobook|chapter \d+|podcast|episode \d+|lullab(y|ies)|hypnosis|thunderstorm|fan noise|guided|storytime)\b"
+#: Phrases of recordings that aren't music.
+NON_MUSIC = [
+    r"\bnpr\b",
+    r"\bbbc (radio|news|world)\b",
+    r"\bespn\b",
+    r"\bpodcast\b",
+    r"\bradio hour\b",
+    r"\bradio station\b",
+    r"\btalk radio\b",
+    r"\bnews hour\b",
+    r"\bsermon\b",
+    r"\baudiobook\b",
+    r"\bchapter \d",
+    r"\bthis american life\b",
+    r"\bted talk\b",
+    r"\bwhite noise\b",
+    r"\bsleep sounds\b",
+    r"\bnature sounds\b",
+    r"\bbeats 1\b",
+    r"\bapple music 1\b",
+    r"\bnews and culture\b",
+    r"\bguided meditation\b",
+]
+
+
+def is_non_music(title: Column, hint: Column) -> Column:
+    """Whether a title with its album hint names something that isn't music."""
+    return F.concat_ws(" ", title, hint).rlike("(?i)" + "|".join(NON_MUSIC))
 
 
 def is_play(ms: Column, *, least: int = PLAY_MS) -> Column:
