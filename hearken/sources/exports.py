@@ -15,10 +15,18 @@ from pyspark.sql import types as T
 
 from hearken.functions.names import unescape_udf
 
-LISTENS = T.StructType.fromDDL(
+KINDS = {"string": T.StringType, "bigint": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "boolean": T.BooleanType}
+
+
+def schema(columns: str) -> T.StructType:
+    """Schema of plain columns, given as in DDL; needs no session."""
+    return T.StructType([T.StructField(n, KINDS[k]()) for n, k in (c.split() for c in columns.split(","))])
+
+
+LISTENS = schema(
     "ts string, ms_played bigint, master_metadata_track_name string, master_metadata_album_artist_name string, master_metadata_album_album_name string, spotify_track_uri string, platform string, reason_start string, reason_end string, shuffle boolean, skipped boolean, service string"
 )
-LEDGER = T.StructType.fromDDL("ts string, artist string, title string, uri string, recipe string, playlist string")
+LEDGER = schema("ts string, artist string, title string, uri string, recipe string, playlist string")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -38,7 +46,7 @@ def listens(spark: SparkSession, folder: str) -> DataFrame:
     """Listens of the first service: JSON arrays, rows with uri and act, tagged with the service and their place."""
     pattern = f"{folder}/Streaming_History_Audio_*.json"
     if not _exists(pattern):
-        return empty(spark, LISTENS.add("file", "string").add("ord", "bigint"))
+        return empty(spark, T.StructType([*LISTENS, *schema("file string, ord bigint")]))
     raw = spark.read.schema(LISTENS).option("multiLine", True).json(pattern)
     rows = raw.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).where("spotify_track_uri <> '' and master_metadata_album_artist_name <> ''")
     return _numbered(rows.withColumn("service", F.lit("spotify")))
@@ -66,7 +74,7 @@ def sibling(folder: str, name: str = "apple_history_events.json") -> str:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text list without blanks and comments."""
     if not _exists(path):
-        return empty(spark, T.StructType.fromDDL("value string"))
+        return empty(spark, schema("value string"))
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' and value not like '#%'")
 
 
@@ -79,8 +87,8 @@ def ordered_map(spark: SparkSession, path: str) -> DataFrame:
 
 def canon(spark: SparkSession, path: str) -> DataFrame:
     """Ranked records of a list file; a list without any raises."""
-    schema = T.StructType.fromDDL("source string, url string, albums array<struct<rank:bigint,artist:string,album:string,year:int>>")
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("albums").alias("a")).select("a.*")
+    layout = "source string, url string, albums array<struct<rank:bigint,artist:string,album:string,year:int>>"
+    rows = spark.read.schema(layout).option("multiLine", True).json(path).select(F.explode("albums").alias("a")).select("a.*")
     if rows.isEmpty():
         raise ValueError(f"no records in {path}")
     return rows
@@ -89,7 +97,7 @@ def canon(spark: SparkSession, path: str) -> DataFrame:
 def ledger(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """Records of a JSON-lines log in the order written; a malformed line raises, or is left out if not ``strict``."""
     if not _exists(path):
-        return empty(spark, LEDGER.add("ord", "bigint"))
+        return empty(spark, T.StructType([*LEDGER, *schema("ord bigint")]))
     raw = spark.read.schema(LEDGER).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
     return _numbered(raw)
 
@@ -178,11 +186,11 @@ def fill_cache(cache: DataFrame, wanted: DataFrame, fetch, *, key: str, batch: i
     return cache.unionByName(missing.mapInPandas(run, cache.schema))
 
 
-def optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, bool]:
+def optional(spark: SparkSession, path: str, columns: str) -> tuple[DataFrame, bool]:
     """A parquet dimension and whether it is there; an absent one is an empty relation of the schema."""
     if _exists(path):
-        return spark.read.schema(schema).parquet(path), True
-    return empty(spark, T.StructType.fromDDL(schema)), False
+        return spark.read.schema(columns).parquet(path), True
+    return empty(spark, schema(columns)), False
 
 
 def library(df: DataFrame, cap: int) -> DataFrame:
