@@ -121,7 +121,7 @@ _GROUP = rf"\s*[\(\[][^\)\]]*({EDITION})[^\)\]]*[\)\]]"
 _BARE = lambda s: f"regexp_replace(regexp_replace({s}, '{_FEAT}', ' ', 'gi'), '{_GROUP}', ' ', 'gi')"
 _TAIL = lambda s: f"regexp_replace({s}, '{FORMATS}', '', 'i')"
 AKEY_SQL = lambda s: f"regexp_replace({PLAIN_SQL(MARKS_SQL(s))}, '^the\\s+', '')"
-CORE_SQL = lambda s: PLAIN_SQL(_TAIL(_TAIL(_TAIL(_BARE(MARKS_SQL(s))))))
+CORE_SQL = lambda s: PLAIN_SQL(MARKS_SQL(_TAIL(_TAIL(_TAIL(_BARE(s))))))
 
 
 @query("norm_acts", f"SELECT DISTINCT artist, {PLAIN_SQL(MARKS_SQL('artist'))} AS plain, {AKEY_SQL('artist')} AS akey FROM lastfm WHERE artist IS NOT NULL")
@@ -136,10 +136,10 @@ def _(spark, folder):
     return albums.select("album", album_core_udf("album").alias("core"))
 
 
-_TRACK = lambda s: PLAIN_SQL(_TAIL(f"regexp_replace(regexp_replace(regexp_replace({s}, '{_FEAT}', ' ', 'gi'), '\\s+(feat\\.?|ft\\.?|featuring)\\s+.*$', '', 'i'), '{_GROUP}', ' ', 'gi')"))
+_TRACK = lambda s: PLAIN_SQL(MARKS_SQL(_TAIL(f"regexp_replace(regexp_replace(regexp_replace({s}, '{_FEAT}', ' ', 'gi'), '\\s+(feat\\.?|ft\\.?|featuring)\\s+.*$', '', 'i'), '{_GROUP}', ' ', 'gi')")))
 
 
-@query("norm_tracks", f"SELECT DISTINCT master_metadata_track_name AS title, {_TRACK(MARKS_SQL('master_metadata_track_name'))} AS core FROM streaming_history WHERE master_metadata_track_name IS NOT NULL")
+@query("norm_tracks", f"SELECT DISTINCT master_metadata_track_name AS title, {_TRACK('master_metadata_track_name')} AS core FROM streaming_history WHERE master_metadata_track_name IS NOT NULL")
 def _(spark, folder):
     titles = table(spark, folder, "streaming_history").select(F.col("master_metadata_track_name").alias("title")).where("title is not null").distinct()
     return titles.select("title", track_core_udf("title").alias("core"))
