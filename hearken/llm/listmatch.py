@@ -238,7 +238,7 @@ def map_to_list(
     distinct tokens joined to the list's units by edit distance (two edits, one in short words, also written
     together, without inner vowels or cut short). Weights of tokens are learnt from all distinct
     values: a token that stands beside many different ones says little, one that is met in one combination says much.
-    The best entry by soft TF-IDF counts from ``threshold`` on, unless the value lacks a word of the entry and is
+    The best entry by soft TF-IDF counts from ``threshold`` on (0.1 more where a word of it is missing), unless the value lacks a word of the entry and is
     about as frequent as the entry itself (``own_share``): then it's a value of its own.
 
     Defined results: null and blank values give no rows; repeated rows give rows of their own; ties go to the
@@ -298,7 +298,7 @@ def map_to_list(
                 weights = [FUNCTION_WEIGHT if x["t"] in FUNCTION_WORDS else weigh(x["df"]) for x in xs]
                 no, score, all_there = best_entry(cands, weights, idf, vocab)
                 own = not all_there and n >= 3 and n > own_share * entry_counts.get(no, 0)
-                out.append((v, no if score >= threshold and not own else -1, score))
+                out.append((v, no if score >= threshold + (0.0 if all_there else 0.1) and not own else -1, score))
             yield pd.DataFrame(out, columns=["v", "e", "s"])
 
     ranked = whole.mapInPandas(rank, "v string, e bigint, s double")
