@@ -106,13 +106,18 @@ def kind_of(mark: str) -> str:
 
 
 def spans(pieces: list[str], marks: list[str], longest: int) -> Iterator[tuple[int, int, str]]:
-    """Candidate values (from piece, to piece exclusive, text); none reaches over more than ``longest`` pieces."""
-    for a in range(len(pieces)):
-        whole = pieces[a]
-        for b in range(a + 1, min(len(pieces), a + longest) + 1):
-            if b > a + 1:
-                whole += marks[b - 2] + pieces[b - 1]
-            yield a, b, clean(whole)
+    """Candidate values (from piece, to piece exclusive, text): all of up to ``longest`` pieces and, however long, all that
+    begin or end a run between certain marks (punctuation, joiners), and the whole text; so no mark must be cut at."""
+    n = len(pieces)
+    stops = [b for b in range(1, n) if kind_of(marks[b - 1]) != "word"] + [n]
+    found: dict[tuple[int, int], None] = {(a, b): None for a in range(n) for b in range(a + 1, min(n, a + longest) + 1)}
+    start = 0
+    for stop in stops:
+        found |= {(start, b): None for b in range(start + 1, stop + 1)} | {(a, stop): None for a in range(start, stop)}
+        start = stop
+    found[0, n] = None
+    for a, b in found:
+        yield a, b, clean("".join(p + (marks[j] if j < b - 1 else "") for j, p in enumerate(pieces[a:b], a)))
 
 
 def expected(k: int, edges: list[tuple[int, int, float]]) -> list[float]:
@@ -144,8 +149,8 @@ def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: i
     """One row for each value packed in the fields: ``key``, ``field_name``, ``pos`` (from 1), ``item_value``.
 
     ``fields`` maps column names to the field names of the result. ``rounds`` is the number of EM rounds,
-    ``longest`` the most atoms one unquoted value may have before its marks count as parting, a parameter of
-    the model (quoted spans are one atom however many marks they hold). ``max_marks`` bounds the kinds of marks,
+    ``longest`` the most atoms up to which all spans are weighed as unquoted values; of longer ones those that
+    begin or end a run between certain marks, and the whole text (quoted spans are one atom however many marks they hold). ``max_marks`` bounds the kinds of marks,
     words of at most five characters, that go to the driver; more raise.
 
     A kind of mark whose learnt probability of parting reaches a half parts wherever it stands outside quotes:
@@ -210,7 +215,9 @@ def _scored(edges: DataFrame, values: DataFrame, total: float) -> DataFrame:
     # What a text itself added to a value doesn't count for it. A value met nowhere else has a base probability that falls with its words.
     others = F.greatest(F.coalesce("n", F.lit(0.0)) - F.col("w") * F.col("p"), F.lit(0.0))
     share = others * (1 - UNSEEN) / max(total, 1.0) + UNSEEN * F.pow(F.lit(10.0), -F.greatest(F.lit(1), F.col("words")))
-    weight = F.when(F.col("words") == 0, F.lit(-1.0)).otherwise(F.log(share))
+    # The power of a very long value underflows to 0, its logarithm doesn't.
+    unseen = F.lit(math.log(UNSEEN)) - F.col("words") * math.log(10.0)
+    weight = F.when(F.col("words") == 0, F.lit(-1.0)).when(share > 0, F.log(share)).otherwise(unseen)
     scored = edges.join(values, "vh", "left").select("h", "w", "k", F.struct("a", "b", "words", "vh", "inner", "next", weight.alias("lw")).alias("e"))
     return scored.groupBy("h", "w", "k").agg(F.collect_list("e").alias("es"))
 

@@ -1,4 +1,4 @@
-from hearken.operators.packed import clean, expected, parse, split_packed, viterbi
+from hearken.operators.packed import clean, expected, parse, spans, split_packed, viterbi
 
 SCHEMA = "id int, text string, other string, pos int, item_value string"
 LINES = [
@@ -48,6 +48,13 @@ def test_long_and_empty(spark):
     assert split_packed(df.limit(0), key="id", fields={"text": "text"}).count() == 0
 
 
+def test_long_values_need_no_cut():
+    pieces, marks, _ = parse("All the way to the end of the Line, Bo")
+    found = {(a, b): v for a, b, v in spans(pieces, marks, 4)}
+    assert marks[-1] == "," and len(pieces) > 6
+    assert found[0, len(pieces) - 1] == "All the way to the end of the Line" and (0, len(pieces)) in found
+
+
 def test_parts():
     assert clean(' "a ""b"" c" ') == 'a "b" c' and clean('"a" b') == '"a" b' and clean('""') == ""
     assert parse('"a, b" - c - d') == (['"a, b" '], [], " c - d")
