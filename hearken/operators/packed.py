@@ -159,36 +159,36 @@ def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: i
 
     Defined results: null and blank fields give no rows, empty values don't count, a repeated row gives its
     values again under its own key, ties go to the finer split, texts of any length are taken whole, other columns are
-    ignored. Distinct texts are parsed once, with their number of occurrences; the shuffles of a round carry
+    ignored. Distinct texts are parsed once and learnt from once, however often they occur; the shuffles of a round carry
     64-bit hashes of values and combine before they send, so a text or value that holds any share of the
     rows stays one row a task.
     """
     named = F.explode(F.array(*[F.struct(F.lit(name).alias("f"), F.col(c).alias("t")) for c, name in fields.items()]))
     long = rows.select(F.col(key).alias("k"), named.alias("x")).select("k", "x.f", "x.t").where(F.col("t").isNotNull() & F.col("t").rlike(r"\S"))
-    texts = long.groupBy("t").agg(F.count(F.lit(1)).alias("w"))
+    texts = long.select("t").distinct()
 
     def lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, w in zip(batch["t"], batch["w"], strict=True):
+            for text in batch["t"]:
                 pieces, marks, _ = parse(text)
                 k = len(pieces)
                 for a, b, value in spans(pieces, marks, longest):
-                    out.append((text, w, k, a, b, value, len(value.split()), marks[a : b - 1], marks[b - 1] if b < k else None))
-            yield pd.DataFrame(out, columns=["t", "w", "k", "a", "b", "v", "words", "inner", "next"])
+                    out.append((text, k, a, b, value, len(value.split()), marks[a : b - 1], marks[b - 1] if b < k else None))
+            yield pd.DataFrame(out, columns=["t", "k", "a", "b", "v", "words", "inner", "next"])
 
-    schema = "t string, w bigint, k int, a int, b int, v string, words int, inner array<string>, next string"
-    edges = cut(texts.mapInPandas(lattice, schema).select(F.xxhash64("t").alias("h"), "w", "k", "a", "b", "words", F.xxhash64("v").alias("vh"), "inner", "next", F.lit(0.0).alias("p")))
+    schema = "t string, k int, a int, b int, v string, words int, inner array<string>, next string"
+    edges = cut(texts.mapInPandas(lattice, schema).select(F.xxhash64("t").alias("h"), "k", "a", "b", "words", F.xxhash64("v").alias("vh"), "inner", "next", F.lit(0.0).alias("p")))
 
     # Fields with a single atom before the title seed the values; marks begin at their priors.
-    values = edges.where("k = 1").groupBy("vh").agg(F.sum("w").cast("double").alias("n"))
+    values = edges.where("k = 1").groupBy("vh").agg(F.count(F.lit(1)).cast("double").alias("n"))
     mark_p: dict[str, float] = {}
     for _ in range(rounds):
         total = float(values.agg(F.sum("n")).first()[0] or 0.0)
         edges = cut(_posterior(edges, values, total, mark_p))
-        values = cut(edges.groupBy("vh").agg(F.sum(F.col("w") * F.col("p")).alias("n")))
-        inside = edges.where("b > a + 1").select(F.explode("inner").alias("m"), (F.col("w") * F.col("p")).alias("inner"))
-        after = edges.where("next is not null").select(F.col("next").alias("m"), (F.col("w") * F.col("p")).alias("outer"))
+        values = cut(edges.groupBy("vh").agg(F.sum("p").alias("n")))
+        inside = edges.where("b > a + 1").select(F.explode("inner").alias("m"), F.col("p").alias("inner"))
+        after = edges.where("next is not null").select(F.col("next").alias("m"), F.col("p").alias("outer"))
         counted = inside.groupBy("m").agg(F.sum("inner").alias("inner")).join(after.groupBy("m").agg(F.sum("outer").alias("outer")), "m", "full").limit(max_marks + 1).collect()
         if len(counted) > max_marks:
             raise ValueError(f"more than {max_marks} kinds of marks")
@@ -213,13 +213,13 @@ def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: i
 def _scored(edges: DataFrame, values: DataFrame, total: float) -> DataFrame:
     """Lattices of whole texts: a row for each text with its weighted edges."""
     # What a text itself added to a value doesn't count for it. A value met nowhere else has a base probability that falls with its words.
-    others = F.greatest(F.coalesce("n", F.lit(0.0)) - F.col("w") * F.col("p"), F.lit(0.0))
+    others = F.greatest(F.coalesce("n", F.lit(0.0)) - F.col("p"), F.lit(0.0))
     share = others * (1 - UNSEEN) / max(total, 1.0) + UNSEEN * F.pow(F.lit(10.0), -F.greatest(F.lit(1), F.col("words")))
     # The power of a very long value underflows to 0, its logarithm doesn't.
     unseen = F.lit(math.log(UNSEEN)) - F.col("words") * math.log(10.0)
     weight = F.when(F.col("words") == 0, F.lit(-1.0)).when(share > 0, F.log(share)).otherwise(unseen)
-    scored = edges.join(values, "vh", "left").select("h", "w", "k", F.struct("a", "b", "words", "vh", "inner", "next", weight.alias("lw")).alias("e"))
-    return scored.groupBy("h", "w", "k").agg(F.collect_list("e").alias("es"))
+    scored = edges.join(values, "vh", "left").select("h", "k", F.struct("a", "b", "words", "vh", "inner", "next", weight.alias("lw")).alias("e"))
+    return scored.groupBy("h", "k").agg(F.collect_list("e").alias("es"))
 
 
 def _weights(edges: list, mark_p: dict[str, float]) -> list[tuple[int, int, float]]:
@@ -240,12 +240,12 @@ def _posterior(edges: DataFrame, values: DataFrame, total: float, mark_p: dict[s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for h, w, k, es in zip(batch["h"], batch["w"], batch["k"], batch["es"], strict=True):
+            for h, k, es in zip(batch["h"], batch["k"], batch["es"], strict=True):
                 lat = _weights(es, mark_p)
-                out += [(h, w, k, a, b, e["words"], e["vh"], e["inner"], e["next"], p) for e, (a, b, _), p in zip(es, lat, expected(k, lat), strict=True)]
-            yield pd.DataFrame(out, columns=["h", "w", "k", "a", "b", "words", "vh", "inner", "next", "p"])
+                out += [(h, k, a, b, e["words"], e["vh"], e["inner"], e["next"], p) for e, (a, b, _), p in zip(es, lat, expected(k, lat), strict=True)]
+            yield pd.DataFrame(out, columns=["h", "k", "a", "b", "words", "vh", "inner", "next", "p"])
 
-    return _scored(edges, values, total).mapInPandas(run, "h bigint, w bigint, k int, a int, b int, words int, vh bigint, inner array<string>, next string, p double")
+    return _scored(edges, values, total).mapInPandas(run, "h bigint, k int, a int, b int, words int, vh bigint, inner array<string>, next string, p double")
 
 
 def _decoded(edges: DataFrame, values: DataFrame, total: float, mark_p: dict[str, float]) -> DataFrame:

@@ -48,6 +48,13 @@ def test_long_and_empty(spark):
     assert split_packed(df.limit(0), key="id", fields={"text": "text"}).count() == 0
 
 
+def test_hot_line_teaches_no_mark(spark):
+    others = ["Ann Tribute to Salt - Sea", "Bo Marsh, Cy", "Bo Marsh & Ann Lee", "Cy / Ann Lee", "Bo Marsh", "Cy"]
+    rows = [(i, t, "", 0, "") for i, t in enumerate(others + ["Bo Marsh to Cy"] * 2000)]
+    got = split_packed(spark.createDataFrame(rows, SCHEMA), key="id", fields={"text": "text"})
+    assert [r.item_value for r in got.where("id = 0").orderBy("pos").collect()] == ["Ann Tribute to Salt", "Sea"]
+
+
 def test_long_values_need_no_cut():
     pieces, marks, _ = parse("All the way to the end of the Line, Bo")
     found = {(a, b): v for a, b, v in spans(pieces, marks, 4)}
