@@ -373,17 +373,41 @@ SELECT uri, """ + ", ".join(
 ) + " FROM t GROUP BY 1"
 
 
+def _wide_kinds(history: DataFrame) -> DataFrame:
+    listens = history.where("spotify_track_uri <> ''")
+    return listens.select(F.col("spotify_track_uri").alias("uri"), instant_us(F.col("ts")).alias("us"), "ms_played", platform_bucket(F.col("platform")).alias("family"), F.coalesce("reason_start", F.lit("unknown")).alias("reason"))
+
+
 def p5_wide(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each track uri with columns for each platform family and start reason of the fixed list."""
-    listens = table(spark, folder, "streaming_history").where("spotify_track_uri <> ''")
-    kinds = listens.select(F.col("spotify_track_uri").alias("uri"), instant_us(F.col("ts")).alias("us"), "ms_played", platform_bucket(F.col("platform")).alias("family"), F.coalesce("reason_start", F.lit("unknown")).alias("reason"))
-    rows = wide_features(kinds, entity="uri", type_cols=["family", "reason"], at="us", value="ms_played", types=WIDE)
+    rows = wide_features(_wide_kinds(table(spark, folder, "streaming_history")), entity="uri", type_cols=["family", "reason"], at="us", value="ms_played", types=WIDE)
     return rows.select("uri", *[c for t in WIDE for c in (f"n_{label(t)}", f"total_{label(t)}", utc_iso(F.col(f"last_us_{label(t)}")).alias(f"last_{label(t)}"))])
 
 
 QUERIES["p5_wide"] = p5_wide
 ORACLES["p5_wide"] = P5_WIDE_SQL
 
+#: The fixed list with the blank reason; what is in neither goes to the columns named other.
+WIDE_ALL = [(f, r) for f in FAMILIES for r in (*REASONS, "")]
+
+P5_WIDE_ALL_SQL = P5_WIDE_SQL[: P5_WIDE_SQL.index("SELECT uri, ")] + "SELECT uri, " + ", ".join(
+    f"count(*) FILTER (WHERE {w}) AS n_{name}, CAST(coalesce(sum(ms) FILTER (WHERE {w}), 0) AS BIGINT) AS total_{name}, strftime(make_timestamp(max(us) FILTER (WHERE {w})), '%Y-%m-%dT%H:%M:%SZ') AS last_{name}"
+    for name, w in [
+        *[(label((f, r)), f"family = '{f}' AND reason = '{r}'") for f, r in WIDE_ALL],
+        ("other", f"NOT (family IN {FAMILIES} AND reason IN {(*REASONS, '')})"),
+    ]
+) + " FROM t GROUP BY 1"
+
+
+def p5_wide_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`p5_wide`, with columns for the blank reason and for all listens of kinds that aren't listed."""
+    rows = wide_features(_wide_kinds(table(spark, folder, "streaming_history")), entity="uri", type_cols=["family", "reason"], at="us", value="ms_played", types=WIDE_ALL)
+    return rows.select("uri", *[c for n in [*map(label, WIDE_ALL), "other"] for c in (f"n_{n}", f"total_{n}", utc_iso(F.col(f"last_us_{n}")).alias(f"last_{n}"))])
+
+
+QUERIES["p5_wide_all"] = p5_wide_all
+ORACLES["p5_wide_all"] = P5_WIDE_ALL_SQL
+
 
 def case_election(spark: SparkSession, folder: str) -> DataFrame:
     raw = H.events(table(spark, folder, "streaming_history"), canonical=False).select("artist", "ms", "service")

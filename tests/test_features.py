@@ -50,6 +50,17 @@ def test_wide_equals_sparse_and_keeps_unlisted_types(spark):
         assert got[u].n_other == sum(v[0] for k, v in want.items() if k[0] == u and k[1:] not in types)
 
 
+def test_wide_query_keeps_every_listen(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    reasons = ["clickrow", None, "", "newreason", "newreason"]
+    rows = [("u1", "2020-01-01T00:00:00Z", 10, "ios", r) for r in reasons] + [("", "2020-01-01T00:00:00Z", 1, "ios", ""), (None, None, 1, None, None)]
+    spark.createDataFrame(rows, "spotify_track_uri string, ts string, ms_played bigint, platform string, reason_start string").write.parquet(f"{tmp_path}/streaming_history.parquet")
+    (got,) = [r.asDict() for r in entry.queries()["p5_wide_all"](spark, str(tmp_path)).collect()]
+    assert sum(v for k, v in got.items() if k.startswith("n_")) == 5 and sum(v for k, v in got.items() if k.startswith("total_")) == 50
+    assert (got["n_other"], got["n_mobile_blank"], got["last_other"]) == (2, 1, "2020-01-01T00:00:00Z")
+
+
 def test_type_list_is_bounded_and_empty_tables_work(spark):
     df = spark.createDataFrame(events(), SCHEMA)
     with pytest.raises(ValueError):
