@@ -68,20 +68,47 @@ class Items:
     owner: np.ndarray
     place: np.ndarray
     rare: np.ndarray
+    poor: np.ndarray
+    poor_key: np.ndarray
     bits: np.ndarray
 
 
-def without_shared(rows: Iterable[tuple[object, str]], *, shared: int) -> list[tuple[object, str]]:
-    """Items without the sentences that at least ``shared`` of them have in common (instructions)."""
+def without_shared(rows: Iterable[tuple[object, str]], *, shared: int, min_words: int = 20) -> list[tuple[object, str]]:
+    """Items without the sentences of fewer than ``min_words`` words that at least ``shared`` different ones have in common (instructions).
+
+    Only items that also have a sentence of their own are counted, each text once. An item of several such sentences and nothing else keeps them.
+    """
     rows = [(i, t) for i, t in rows if t]
     split = {i: _SENTENCE.split(t.strip()) for i, t in rows}
-    folded = lambda s: letters(s)[0]
-    count = Counter(x for parts in split.values() for x in {folded(s) for s in parts})
-    return [(i, " ".join(s for s in split[i] if count[folded(s)] < shared)) for i, _ in rows]
+    folded = {s: letters(s)[0] for parts in split.values() for s in parts}
+    distinct = {tuple(sorted({folded[s] for s in parts})) for parts in split.values()}
+    count = Counter(x for parts in distinct for x in parts)
+    anchored = Counter(x for parts in distinct if any(count[y] < shared for y in parts) for x in parts)
+    note = lambda s: anchored[folded[s]] >= shared and len(_WORD.findall(s)) < min_words
+    out = []
+    for i, text in rows:
+        own = [s for s in split[i] if not note(s)]
+        out.append((i, text if not own and len({folded[s] for s in split[i]}) > 1 else " ".join(own)))
+    return out
+
+
+def folded_items(rows: Iterable[tuple[object, str]]) -> tuple[list[tuple[int, str]], list[list]]:
+    """Distinct texts by their letters, numbered, and for each number the ids of all its copies."""
+    first: dict[str, int] = {}
+    texts: list[tuple[int, str]] = []
+    copies: list[list] = []
+    for i, text in rows:
+        n = first.setdefault(letters(text)[0], len(texts))
+        if n == len(texts):
+            texts.append((n, text))
+            copies.append([])
+        copies[n].append(i)
+    return texts, copies
 
 
-def index(rows: list[tuple[object, str]], *, common: int) -> Items:
-    """Index items; a q-gram that more than ``common`` of them have doesn't open a candidate (it still counts)."""
+def index(rows: list[tuple[object, str]], *, common: int, rare_hits: int = 6, min_words: int = 20) -> Items:
+    """Index items; a q-gram that more than ``common`` of them have doesn't open a candidate (it still counts),
+    except for an item with a stretch as long as a passage that has fewer than ``rare_hits`` of the others."""
     ids, texts, codes, words, hashes, owner, place = [], [], [], [], [], [], []
     for i, text in rows:
         flat, word = letters(text)
@@ -97,16 +124,23 @@ def index(rows: list[tuple[object, str]], *, common: int) -> Items:
         words.append(word)
     if not ids:
         empty = np.empty(0, dtype=np.int32)
-        return Items([], [], [], [], np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), empty, empty, np.empty(0, dtype=bool), np.zeros(1 << 20, dtype=bool))
+        return Items([], [], [], [], np.empty(0, dtype=np.uint64), np.zeros(1, dtype=np.int64), empty, empty, np.empty(0, dtype=bool), np.empty(0, dtype=bool), np.empty(0, dtype=bool), np.zeros(1 << 20, dtype=bool))
     h, o, p = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     order = np.lexsort((p, o, h))
     h, o, p = h[order], o[order], p[order]
     keys, first = np.unique(h, return_index=True)
     pairs = np.unique(np.stack([np.searchsorted(keys, h).astype(np.int64), o.astype(np.int64)], 1), axis=0)
     rare = np.bincount(pairs[:, 0], minlength=len(keys)) <= common
+    at = np.searchsorted(keys, h)
+    poor = np.zeros(len(ids), dtype=bool)
+    for n, g in enumerate(hashes):
+        sums = np.append(0, np.cumsum(rare[np.searchsorted(keys, g)]))
+        width = min(len(g), 4 * min_words)
+        poor[n] = len(g) > 0 and int((sums[width:] - sums[: len(sums) - width]).min()) < rare_hits
+    poor_key = np.bincount(at[poor[o]], minlength=len(keys)) > 0
     bits = np.zeros(1 << 20, dtype=bool)
     bits[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Items(ids, texts, codes, words, keys, np.append(first, len(h)).astype(np.int64), o, p, rare, bits)
+    return Items(ids, texts, codes, words, keys, np.append(first, len(h)).astype(np.int64), o, p, rare, poor, poor_key, bits)
 
 
 def _hits(g: np.ndarray, own: Items) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +163,8 @@ def found_in(text: str, own: Items, *, min_words: int, rare_hits: int, lemma_hit
     """Items that a text holds: item number, words of the passage, score.
 
     Within a diagonal band of the text against an item, a passage of n letters with e edits shares at least n - q + 1 - q e q-grams
-    (the q-gram lemma). A band that has ``rare_hits`` q-grams of few items and ``lemma_hits`` in all is aligned.
+    (the q-gram lemma). A band that has ``rare_hits`` q-grams of few items and ``lemma_hits`` in all is aligned;
+    of an item that lacks rare q-grams, any that has ``lemma_hits``.
     """
     flat, _ = letters(text)
     g = grams(codes := code(flat))
@@ -137,12 +172,18 @@ def found_in(text: str, own: Items, *, min_words: int, rare_hits: int, lemma_hit
         return []
     at, k = _hits(g, own)
     few = own.rare[k]
-    if few.sum() < rare_hits:
+    any_poor = own.poor_key[k]
+    if few.sum() < rare_hits and any_poor.sum() < lemma_hits:
         return []
     item, _, diagonal, doc = _with_diagonal(at[few], k[few], own)
     bands = np.concatenate([_band(item, diagonal, 0), _band(item, diagonal, 1)])
     band, n = np.unique(bands, return_counts=True)
     band = band[n >= rare_hits]
+    if any_poor.sum() >= lemma_hits:
+        item, _, diagonal, _ = _with_diagonal(at[any_poor], k[any_poor], own)
+        item, diagonal = item[own.poor[item]], diagonal[own.poor[item]]
+        more, n = np.unique(np.concatenate([_band(item, diagonal, 0), _band(item, diagonal, 1)]), return_counts=True)
+        band = np.union1d(band, more[n >= lemma_hits])
     if not len(band):
         return []
     wanted = np.unique(band >> 40)
@@ -253,8 +294,8 @@ def leaked(
     """One row for each document and item where the text holds the item or a passage of it.
 
     A passage is about ``min_words`` or more of an item's words in a row, or all words of a shorter item, in any
-    layout, case or punctuation, with at least ``density`` of the letters of its best local alignment equal. Sentences that ``shared`` or
-    more items have in common (instructions) don't count. Columns: ``key``, ``item_key``, ``n_words``, ``score``.
+    layout, case or punctuation, with at least ``density`` of the letters of its best local alignment equal. Sentences shorter than a passage that ``shared`` or
+    more different items have in common (instructions) don't count. Columns: ``key``, ``item_key``, ``n_words``, ``score``.
 
     The held-out items are the query set: they are taken in blocks of at most ``block_letters``, which bounds
     what a worker holds, and each block is held against every text in one map without a shuffle.
@@ -264,7 +305,7 @@ def leaked(
     ignored.
     """
     rows = [(r[0], r[1]) for r in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).toLocalIterator()]
-    rows = without_shared(rows, shared=shared)
+    rows, copies = folded_items(without_shared(rows, shared=shared, min_words=min_words))
     blocks: list[list] = [[]]
     used = 0
     for r in rows:
@@ -277,16 +318,16 @@ def leaked(
     narrow = spread(docs.select(key, text).where(F.col(text).isNotNull()))
     found = None
     for block in blocks:
-        one = narrow.mapInPandas(_searcher(block, key, item_key, common, dict(min_words=min_words, rare_hits=rare_hits, lemma_hits=lemma_hits, density=density)), out_schema)
+        one = narrow.mapInPandas(_searcher(block, copies, key, item_key, common, dict(min_words=min_words, rare_hits=rare_hits, lemma_hits=lemma_hits, density=density)), out_schema)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _searcher(block: list, key: str, item_key: str, common: int, limits: dict):
+def _searcher(block: list, copies: list[list], key: str, item_key: str, common: int, limits: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = index(block, common=common)
+        own = index(block, common=common, rare_hits=limits["rare_hits"], min_words=limits["min_words"])
         for batch in batches:
-            out = [(k, own.ids[i], w, s) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for i, w, s in found_in(t, own, **limits)]
+            out = [(k, copy, w, s) for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for i, w, s in found_in(t, own, **limits) for copy in copies[own.ids[i]]]
             yield pd.DataFrame(out, columns=[key, item_key, "n_words", "score"])
 
     return run

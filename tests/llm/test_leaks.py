@@ -37,6 +37,16 @@ def test_planted_passages(spark):
     assert run(df.limit(0), items) == set() and run(df, items.limit(0)) == set()
 
 
+def test_copies_and_common_wording(spark):
+    copied, base = passage(40), passage(60)
+    alike = [base[:i] + passage(2) + base[i + 2 :] for i in range(0, 60, 6)]
+    rows = [(i, " ".join(copied), 1) for i in range(5)] + [(10 + i, " ".join(t), 1) for i, t in enumerate(alike)]
+    docs = [(1, " ".join(passage(50) + copied + passage(50)), ""), (2, " ".join(passage(50) + base[20:52] + passage(50)), "")]
+    got = leaked(spark.createDataFrame(docs, "doc int, body string, item string"), spark.createDataFrame(rows, "item int, words string, doc int"), key="doc", text="body", item_key="item", item_text="words")
+    found = {(r.doc, r.item) for r in got.collect()}
+    assert {i for d, i in found if d == 1} == set(range(5)) and {i for d, i in found if d == 2} == set(range(10, 20))
+
+
 def test_parts():
     assert letters("A-b <i>&eacute;​C</i> 1")[0] == "abéc1"
     assert without_shared([(1, "Same. One x."), (2, "Same. Two y."), (3, "Same. Three z.")], shared=3) == [(1, "One x."), (2, "Two y."), (3, "Three z.")]
