@@ -2,48 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Other words for words of music lists, as whole token sequences (of the typed value, of the list).
-ALIASES = {
-    "n bass": "and bass",
-    "dnb": "drum and bass",
-    "movie": "film",
-    "movies": "film",
-    "films": "film",
-    "cinema": "film",
-    "ost": "soundtracks",
-    "vg": "game",
-    "videogame": "game",
-    "video game": "game",
-    "alt country": "americana",
-    "choir": "choral",
-    "choirs": "choral music",
-    "show tunes": "musicals",
-    "musical theatre": "musicals",
-    "musical theater": "musicals",
-    "jazz manouche": "gypsy swing",
-    "manouche": "gypsy swing",
-    "gangsta funk": "g funk",
-    "kraut": "krautrock",
-    "fiddling": "fiddle",
-    "discotheque": "disco",
-    "discoteque": "disco",
-    "sing along": "singalongs",
-    "singalong": "singalongs",
-}
-DECADES = {"sixties": 6, "seventies": 7, "eighties": 8, "nineties": 9}
+from hearken.session import cut
+
+#: Decades by name, and the short form of the joining word.
+DECADES = {"thirties": 3, "forties": 4, "fifties": 5, "sixties": 6, "seventies": 7, "eighties": 8, "nineties": 9}
+SHORT_AND = "n"
 #: Function words; they say nothing about the entry, however rare they are.
 FUNCTION_WORDS = frozenset("a an at for from in of on or the to with".split())
 FUNCTION_WEIGHT = 0.3
+#: Letters up to which a word is compared by deletions and taken for cut short; longer ones are compared by pieces.
+SHORT = 30
+#: Occurrences by which the frequency of a listed word or entry is smoothed.
+SEEN = 10
 _TOKEN = re.compile(r"[^\W_]+")
 _POSSESSIVE = re.compile(r"(?<=\d)['’]s\b", re.IGNORECASE)
 _VOWELS = set("aeiou")
@@ -51,22 +33,14 @@ _DIGITS = str.maketrans("013457", "oieast")
 
 
 def tokens(value: str) -> list[str]:
-    """Words of a value: one case, no accents, letters and digits only; decades spelt as four digits and an s; aliases replaced."""
+    """Words of a value: one case, no accents, letters and digits only; decades spelt as four digits and an s."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", _POSSESSIVE.sub("s", value)).casefold() if not unicodedata.combining(c))
-    words = [_decade(w) for w in _TOKEN.findall(plain)]
     out: list[str] = []
-    i = 0
-    while i < len(words):
-        two = " ".join(words[i : i + 2])
-        if i + 1 < len(words) and words[i] == "nineteen" and re.fullmatch(r"19\d0s", words[i + 1]):
-            out.append(words[i + 1])
-            i += 2
-        elif i + 1 < len(words) and two in ALIASES:
-            out += ALIASES[two].split()
-            i += 2
+    for w in map(_decade, _TOKEN.findall(plain)):
+        if out and out[-1] == "nineteen" and re.fullmatch(r"19\d0s", w):
+            out[-1] = w
         else:
-            out += ALIASES.get(words[i], words[i]).split()
-            i += 1
+            out.append("and" if w == SHORT_AND and out else w)
     return out
 
 
@@ -82,20 +56,29 @@ def skeleton(word: str) -> str:
 
 
 def typos(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) from a to b, or ``most`` + 1 if they are more."""
+    """Edits (insert, delete, replace, swap of neighbours) from a to b, or ``most`` + 1 if they are more.
+
+    Only the diagonals within ``most`` are worked through, so the cost follows the length.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
+    far = most + 1
+    older: dict[int, int] = {}
+    before = {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+        row: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if not j:
+                row[j] = i
+                continue
+            cost = min(before.get(j, far) + 1, row.get(j - 1, far) + 1, before.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                cost = min(cost, older.get(j - 2, far) + 1)
+            row[j] = cost
+        if min(row.values()) > most:
+            return far
+        older, before = before, row
+    return min(before[len(b)], far)
 
 
 def allowed(length: int) -> int:
@@ -120,187 +103,272 @@ def _deletes(word: str, most: int) -> set[str]:
     return out
 
 
-class Vocabulary:
-    """Units of the reference list: its tokens, and runs of neighbouring tokens written as one."""
-
-    def __init__(self, entries: list[tuple[int, str]]) -> None:
-        self.entries = {no: tokens(text) for no, text in entries}
-        self.units: dict[str, tuple[str, ...]] = {}
-        for toks in self.entries.values():
-            for i in range(len(toks)):
-                for j in range(i + 2, len(toks) + 1):
-                    self.units.setdefault("".join(toks[i:j]), tuple(toks[i:j]))
-        for toks in self.entries.values():
-            for t in toks:
-                self.units[t] = (t,)
-        together = {t for toks in self.entries.values() if len(toks) > 1 for t in toks}
-        self.longest = max(map(len, self.units), default=0)
-        self.by_delete: dict[str, list[str]] = defaultdict(list)
-        self.by_singular: dict[str, list[str]] = defaultdict(list)
-        self.by_skeleton: dict[str, list[str]] = defaultdict(list)
-        self.by_prefix: dict[str, list[str]] = defaultdict(list)
-        for u, parts in self.units.items():
-            for d in _deletes(u, 2):
-                self.by_delete[d].append(u)
-            self.by_singular[singular(u)].append(u)
-            self.by_skeleton[skeleton(u)].append(u)
-            if u in together:
-                for k in range(3, len(u) - 1):
-                    self.by_prefix[u[:k]].append(u)
-        self.of_unit: dict[str, list[int]] = defaultdict(list)
-        for no, toks in self.entries.items():
-            for t in set(toks):
-                self.of_unit[t].append(no)
-
-    def repairs(self, token: str, count: int, counts: dict[str, int], own_share: float) -> list[tuple[str, float]]:
-        """Units a token may stand for, with their similarity, the likeliest first.
-
-        A token about as frequent as the unit it resembles (``own_share``) is a word of its own, not a slip.
-        """
-        if token in self.units:
-            return [(token, 1.0)]
-        found: dict[str, float] = {u: 0.97 for u in self.by_singular.get(singular(token), ())}
-        own = lambda u: count >= 3 and count > own_share * counts.get(u, 0)
-        for form in {token, token if token.isdigit() else token.translate(_DIGITS)}:
-            if len(form) > self.longest + 2:
-                continue
-            for u in {u for d in _deletes(form, 2) for u in self.by_delete.get(d, ())}:
-                most = reach(max(len(u), len(form)))
-                edits = typos(form, u, most)
-                if edits <= most and not own(u):
-                    found[u] = max(found.get(u, 0.0), 1.0 - edits / (2.0 * len(u)) if edits <= allowed(len(u)) else 0.5)
-        if len(token) > 1 and not set(token[1:-1]) & _VOWELS:
-            for u in self.by_skeleton.get(token, ()):
-                found[u] = max(found.get(u, 0.0), 0.9)
-            if token[-1] not in _VOWELS:
-                for u, parts in self.units.items():
-                    if u not in found and u[-1] in _VOWELS and skeleton(u)[:-1] == token:
-                        found[u] = 0.85
-        for u in self.by_prefix.get(token, ()):
-            if not own(u):
-                found[u] = max(found.get(u, 0.0), 0.8)
-        return sorted(found.items(), key=lambda x: (-x[1], -counts.get(x[0], 0), x[0]))
-
-
-def glue(toks: list[str], vocab: Vocabulary) -> list[str]:
-    """Neighbouring tokens that together write one single-token unit, as one."""
+def pieces(length: int) -> list[tuple[int, int]]:
+    """Five stretches of a word of this length: two edits, swaps included, leave one of them whole."""
+    return [(i * length // 5, (i + 1) * length // 5) for i in range(5)]
+
+
+def _piece_sign(length: int, i: int, part: str) -> str:
+    return f"l{length}.{i}.{hashlib.blake2b(part.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def forms(token: str) -> set[str]:
+    """A token, and as it reads with figures taken for letters."""
+    return {token, token if token.isdigit() else token.translate(_DIGITS)}
+
+
+def token_signs(token: str) -> list[str]:
+    """Keys one of which a token shares with every unit it may stand for (:func:`unit_signs`)."""
+    out = {"s" + singular(token), "p" + token if len(token) <= SHORT else "s" + singular(token)}
+    for form in forms(token):
+        if len(form) <= SHORT:
+            out |= {"d" + x for x in _deletes(form, 2)}
+        else:
+            out |= {_piece_sign(n, i, form[max(0, a + k) : b + k]) for n in range(len(form) - 2, len(form) + 3) for i, (a, b) in enumerate(pieces(n)) for k in range(-2, 3)}
+    if len(token) > 1 and not set(token[1:-1]) & _VOWELS:
+        out |= {"k" + token} | ({"v" + token} if token[-1] not in _VOWELS else set())
+    return sorted(out)
+
+
+def unit_signs(unit: str, together: bool) -> list[str]:
+    """Keys of a unit; those of words cut short only where the unit stands beside others in an entry."""
+    out = {"s" + singular(unit), "k" + skeleton(unit)}
+    if len(unit) <= SHORT + 2:
+        out |= {"d" + x for x in _deletes(unit, 2)}
+    if len(unit) > SHORT - 2:
+        out |= {_piece_sign(len(unit), i, unit[a:b]) for i, (a, b) in enumerate(pieces(len(unit)))}
+    if unit[-1] in _VOWELS:
+        out.add("v" + skeleton(unit)[:-1])
+    if together and len(unit) <= SHORT:
+        out |= {"p" + unit[:k] for k in range(3, len(unit) - 1)}
+    return sorted(out)
+
+
+def likeness(token: str, unit: str, together: bool) -> tuple[float, float]:
+    """How like a unit a token is for certain (plural, vowels left out), and how like if it's a slip or cut short."""
+    if token == unit:
+        return 1.0, 1.0
+    sure = 0.97 if singular(token) == singular(unit) else 0.0
+    if len(token) > 1 and not set(token[1:-1]) & _VOWELS:
+        bare = skeleton(unit)
+        if token == bare:
+            sure = max(sure, 0.9)
+        elif token[-1] not in _VOWELS and unit[-1] in _VOWELS and token == bare[:-1]:
+            sure = max(sure, 0.85)
+    slip = 0.8 if together and 3 <= len(token) < len(unit) - 1 and len(unit) <= SHORT and unit.startswith(token) else 0.0
+    for form in forms(token):
+        most = reach(max(len(unit), len(form)))
+        edits = typos(form, unit, most)
+        if edits <= most:
+            slip = max(slip, 1.0 - edits / (2.0 * len(unit)) if edits <= allowed(len(unit)) else 0.5)
+    return sure, max(sure, slip)
+
+
+def entry_units(toks: Sequence[str], together: int) -> Iterator[tuple[str, list[str], bool]]:
+    """Units of an entry: each token, and each run of up to ``together`` neighbours written as one; their tokens; whether a token has company."""
+    for i, t in enumerate(toks):
+        yield t, [t], len(toks) > 1
+        for j in range(i + 2, min(len(toks), i + together) + 1):
+            yield "".join(toks[i:j]), list(toks[i:j]), False
+
+
+def glue(toks: Sequence[str], at: dict[int, int]) -> list[str]:
+    """Neighbouring tokens that together write a word of the list, as one; ``at`` has the lengths of such runs by their place."""
     out: list[str] = []
     i = 0
     while i < len(toks):
-        for k in (3, 2):
-            joined = "".join(toks[i : i + k])
-            if len(toks[i : i + k]) == k and len(vocab.units.get(joined, ())) == 1 and not all(t in vocab.units for t in toks[i : i + k]):
-                out.append(joined)
-                i += k
-                break
-        else:
-            out.append(toks[i])
-            i += 1
+        k = at.get(i, 1)
+        out.append("".join(toks[i : i + k]))
+        i += k
     return out
 
 
-def best_entry(cands: list[list[tuple[str, float]]], unknown: list[float], idf: dict[str, float], vocab: Vocabulary) -> tuple[int, float, bool]:
-    """Entry with the highest soft TF-IDF cosine, that cosine, and whether all its words are there; equals go to the lower number."""
-    scores: dict[int, float] = {}
-    whole: dict[int, bool] = {}
-    near = {no for c in cands for u, _ in c for part in vocab.units[u] for no in vocab.of_unit[part]}
-    for no in near:
-        want = vocab.entries[no]
-        left, taken, dot = list(want), {}, 0.0
-        offers = sorted(((sim, sum(idf[p] ** 2 for p in vocab.units[u]), i, u) for i, cand in enumerate(cands) for u, sim in cand), key=lambda x: (-x[0], -x[1], x[2], x[3]))
-        for sim, gain, i, u in offers:
-            parts = vocab.units[u]
-            if i not in taken and all(left.count(p) >= parts.count(p) for p in parts):
-                taken[i] = gain
-                dot += sim * gain
-                for p in parts:
-                    left.remove(p)
-        norm = sum(taken[i] if i in taken else (sum(idf[p] ** 2 for p in vocab.units[cand[0][0]]) if cand and cand[0][1] == 1.0 else weight**2) for i, (cand, weight) in enumerate(zip(cands, unknown, strict=True)))
-        # Beside words of its own, a value means only an entry that is there entirely and without much repair.
-        others = any(i not in taken and weight > FUNCTION_WEIGHT for i, weight in enumerate(unknown))
-        if others and (left or dot < 0.8 * sum(taken.values())):
-            continue
-        full = sum(idf[p] ** 2 for p in want)
-        if dot:
-            scores[no], whole[no] = dot / math.sqrt(norm * full), not left
-    if not scores:
-        return -1, 0.0, False
-    no = min(scores, key=lambda k: (-scores[k], k))
-    return no, scores[no], whole[no]
-
-
-def map_to_list(
-    rows: DataFrame, entries: DataFrame, *, key: str, value: str, entry_key: str, entry: str, threshold: float = 0.52, own_share: float = 0.3, max_entries: int = 100_000
-) -> DataFrame:
+def soft_cosine(words: Sequence[tuple[int, float, Sequence[tuple[str, float, Sequence[str], float]]]], want: Sequence[tuple[str, float]]) -> tuple[float, bool]:
+    """Soft TF-IDF cosine of a value and an entry, and whether all words of the entry are there.
+
+    A word of the value is (times, weight, candidates), a candidate (unit, similarity, its tokens, their squared weight);
+    ``want`` has the entry's tokens and weights. Each token of the entry is taken once, by the likest word. Beside words of
+    its own, a value means only an entry that is there entirely and without much repair (else 0).
+    """
+    left = Counter(t for t, _ in want)
+    full = sum(w * w for _, w in want)
+    offers = sorted(((sim, gain, i, u, parts) for i, (_, _, cands) in enumerate(words) for u, sim, parts, gain in cands if any(p in left for p in parts)), key=lambda x: (-x[0], -x[1], x[2], x[3]))
+    free = [times for times, _, _ in words]
+    own: list[float] = [0.0] * len(words)
+    dot = taken = 0.0
+    for sim, gain, i, _, parts in offers:
+        need = Counter(parts)
+        while free[i] and all(left[p] >= n for p, n in need.items()):
+            free[i] -= 1
+            left -= need
+            own[i] += gain
+            taken += gain
+            dot += sim * gain
+    norm = sum(own)
+    others = False
+    for n, (_, weight, cands) in zip(free, words, strict=True):
+        if n:
+            exact = bool(cands) and cands[0][1] == 1.0
+            norm += n * (cands[0][3] if exact else weight * weight)
+            others = others or weight > FUNCTION_WEIGHT
+    missing = sum(left.values()) > 0
+    if not dot or others and (missing or dot < 0.8 * taken):
+        return 0.0, not missing
+    return dot / math.sqrt(norm * full), not missing
+
+
+def map_to_list(rows: DataFrame, entries: DataFrame, *, key: str, value: str, entry_key: str, entry: str, threshold: float = 0.52, own_share: float = 0.3, together: int = 6) -> DataFrame:
     """One row for each row whose value isn't null, blank or exactly an entry: ``key``, ``entry_key`` (-1 for none), ``score``.
 
-    The reference list is the bounded side (more than ``max_entries`` raise). Distinct values are tokenised, and
-    distinct tokens joined to the list's units by edit distance (two edits, one in short words, also written
-    together, without inner vowels or cut short). Weights of tokens are learnt from all distinct
-    values: a token that stands beside many different ones says little, one that is met in one combination says much.
-    The best entry by soft TF-IDF counts from ``threshold`` on (0.1 more where a word of it is missing), unless the value lacks a word of the entry and is
-    about as frequent as the entry itself (``own_share``): then it's a value of its own.
+    Everything is joined, so that neither side has a bound: distinct tokens of all distinct values meet the units of the list
+    (its tokens, and runs of up to ``together`` of them written as one) by edit distance, through shared deletions or, in long words,
+    whole pieces (two edits, one in short words; also written together or apart, without inner vowels or, up to :data:`SHORT` letters, cut short). Weights of tokens are
+    learnt from all distinct values: a token that stands beside many different ones says little, one that is met in one combination says much.
+    An entry is a candidate of a value that has one of its heavier tokens: a match in the others alone can't reach ``threshold``.
+    The best entry by soft TF-IDF counts from ``threshold`` on (0.1 more where a word of it is missing).
+
+    A token more frequent than ``own_share`` of the unit it resembles, or a value that lacks a word of the entry and is as
+    frequent in comparison with the entry, is one of its own and no slip; frequencies are smoothed by :data:`SEEN` listed ones.
 
     Defined results: null and blank values give no rows; repeated rows give rows of their own; ties go to the
-    lower entry number; an empty list maps all to -1; very long values are taken whole; other columns are
+    lower entry number; an empty list maps all to -1; of a value of any length each distinct token is one short row; other columns are
     ignored.
     """
-    listed = [(r[0], r[1]) for r in entries.select(entry_key, entry).where(F.col(entry).isNotNull()).limit(max_entries + 1).collect()]
-    if len(listed) > max_entries:
-        raise ValueError(f"more than {max_entries} entries")
-    vocab = Vocabulary(listed)
-    exact = {text for _, text in listed}
-    typed = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where(F.col("v").isNotNull() & F.col("v").rlike(r"\S"))
-    distinct = typed.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    no_kind = entries.schema[entry_key].dataType.simpleString()
 
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"v": b["v"], "n": b["n"], "ts": [glue(tokens(x), vocab) for x in b["v"]]})
+    def words_of(values: pd.Series) -> pd.Series:
+        return values.map(tokens)
 
-    worded = distinct.mapInPandas(cut_up, "v string, n bigint, ts array<string>")
-    at = worded.select("v", "n", F.posexplode("ts").alias("pos", "t"))
-    counted = at.groupBy("t").agg(F.sum("n").alias("c"))
-    listed_units = counted.where(F.col("t").isin(sorted(vocab.units)) if vocab.units else F.lit(False))
-    counts = {r["t"]: r["c"] for r in listed_units.collect()}
+    words_of.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    worded_udf = F.pandas_udf(words_of, T.ArrayType(T.StringType()))
+    digest = lambda c: F.unhex(F.md5(c))
+    listed = cut(entries.select(F.col(entry_key).alias("no"), F.col(entry).alias("text")).where("text is not null").withColumn("ts", worded_udf("text")))
 
-    def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [vocab.repairs(t, c, counts, own_share) for t, c in zip(b["t"], b["c"], strict=True)]
-            yield pd.DataFrame({"t": b["t"], "us": [[u for u, _ in f] for f in found], "ss": [[s for _, s in f] for f in found]})
-
-    repaired = counted.mapInPandas(repair, "t string, us array<string>, ss array<double>")
-    fixed = at.select("v", "pos", "t").join(repaired, "t")
-
-    # Document frequency over distinct bags of repaired tokens.
-    bags = fixed.groupBy("v").agg(F.array_sort(F.collect_set(F.when(F.get("ss", F.lit(0)) > 0.5, F.get("us", F.lit(0))).otherwise(F.col("t")))).alias("bag")).select("bag").distinct()
-    df = bags.select(F.explode("bag").alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("df"))
-    n_bags = max(2, bags.count())
-    parts: dict[str, int] = defaultdict(int)
-    for r in df.where(F.col("u").isin(sorted(vocab.units)) if vocab.units else F.lit(False)).collect():
-        for p in vocab.units[r["u"]]:
-            parts[p] += r["df"]
-    weigh = lambda n: math.log(1.0 + n_bags / max(1, n)) ** 1.5
-    idf = {p: weigh(parts.get(p, 1)) for u in vocab.units.values() for p in u}
-    entry_counts = {no: 0 for no in vocab.entries}
-    same = {" ".join(toks): no for no, toks in vocab.entries.items()}
-    spelt = worded.withColumn("j", F.array_join("ts", " "))
-    for r in spelt.where(F.col("j").isin(sorted(same)) if same else F.lit(False)).groupBy("j").agg(F.sum("n").alias("n")).collect():
-        entry_counts[same[r["j"]]] = r["n"]
-    texts = spelt.groupBy("j").agg(F.sum("n").alias("n"))
-    with_n = spelt.select("v", "j").join(texts, "j").select("v", "n")
-    whole = fixed.join(df.withColumnRenamed("u", "t"), "t", "left").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("pos", "t", "us", "ss", F.coalesce("df", F.lit(1)).alias("df")))).alias("x")).join(with_n, "v")
+            yield pd.DataFrame([x for ts in b["ts"] for x in entry_units(ts, together)], columns=["u", "parts", "company"])
+
+    made = listed.select("ts").mapInPandas(units_of, "u string, parts array<string>, company boolean")
+    units = cut(made.groupBy("u").agg(F.min(F.struct((F.size("parts") > 1).alias("run"), "parts")).alias("x"), F.max("company").alias("company")).select("u", "x.parts", "x.run", "company"))
+
+    typed = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).where(F.col("v").isNotNull() & F.col("v").rlike(r"\S"))
+    split = typed.groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(digest(F.col("v")).alias("h"), "n", worded_udf("v").alias("seq"))
+    worded = cut(_glued(split, units))
+
+    # Distinct tokens, and the units each may stand for.
+    each = worded.select("h", "n", F.explode(F.arrays_zip("ts", "ms")).alias("x")).select("h", "n", F.col("x.ts").alias("t"), F.col("x.ms").alias("m"))
+    counted = cut(each.groupBy("t").agg(F.sum("n").alias("c")))
+    repaired = cut(_repairs(counted, units, own_share))
+
+    # Document frequency over distinct bags of repaired tokens; the empty token stands in every bag.
+    sure = each.select("h", "t").join(repaired.select("t", "rep"), "t", "left").select("h", F.coalesce("rep", "t").alias("u"))
+    bags = sure.groupBy("h").agg(F.array_sort(F.collect_set("u")).alias("bag")).select("bag").distinct()
+    df = cut(bags.select(F.explode(F.concat(F.array(F.lit("")), "bag")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("df")))
+    all_bags = df.where("u = ''").first()
+    n_bags = float(max(2, all_bags["df"] if all_bags else 0))
+    weigh = lambda c: F.pow(F.log(F.lit(1.0) + F.lit(n_bags) / F.greatest(F.lit(1), F.coalesce(c, F.lit(1)))), F.lit(1.5))
+    parts = units.select("u", F.explode("parts").alias("p"))
+    idf = parts.join(df, "u", "left").groupBy("p").agg(weigh(F.sum("df")).alias("w"))
+
+    # Candidate entries of a unit, by the heavier tokens of each.
+    weighed = listed.select("no", F.xxhash64(F.array_join("ts", " ")).alias("j"), F.posexplode("ts").alias("i", "p")).join(idf, "p")
+    entry_rows = weighed.groupBy("no", "j").agg(F.sort_array(F.collect_list(F.struct("i", "p", "w"))).alias("want"), F.sum(F.col("w") * F.col("w")).alias("full"))
+    below = Window.partitionBy("no").orderBy("w", "p", "i")
+    heavy = weighed.withColumns({"run": F.sum(F.col("w") * F.col("w")).over(below), "full": F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("no"))}).where(F.col("run") >= F.lit(threshold**2) * F.col("full") * (1 - 1e-9)).select("no", "p").distinct()
+    gains = parts.join(idf, "p").groupBy("u").agg(F.sum(F.col("w") * F.col("w")).alias("gain"))
+    opens = parts.distinct().join(heavy, "p").groupBy("u").agg(F.collect_set("no").alias("nos"))
+    cands = repaired.select("t", F.posexplode("us").alias("o", "x")).select("t", "o", "x.*").join(gains, "u").join(opens, "u", "left")
+    offered = cands.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("o", "u", "sim", "parts", "gain"))).alias("cs"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("nos", F.array().cast(f"array<{no_kind}>"))))).alias("nos"))
+    weight = F.when(F.col("t").isin(*sorted(FUNCTION_WORDS)), FUNCTION_WEIGHT).otherwise(weigh(F.col("df")))
+    known = counted.select("t").join(df.withColumnRenamed("u", "t"), "t", "left").join(offered, "t", "left").select("t", weight.alias("w"), "cs", "nos")
+
+    whole = each.select("h", "t", "m").join(known, "t").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("t", "m", "w", "cs"))).alias("x"), F.array_distinct(F.flatten(F.collect_list("nos"))).alias("nos"))
+    asked_of = whole.where(F.size("nos") > 0).select("h", F.explode("nos").alias("no")).join(_entry_counts(worded, entry_rows), "no").groupBy("h").agg(F.collect_list(F.struct("no", "want", "listed_n")).alias("es"))
+    open_values = whole.select("h", "x").join(asked_of, "h").join(_text_counts(worded), "h")
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for v, n, xs in zip(b["v"], b["n"], b["x"], strict=True):
-                cands = [list(zip(x["us"], x["ss"], strict=True)) for x in xs]
-                weights = [FUNCTION_WEIGHT if x["t"] in FUNCTION_WORDS else weigh(x["df"]) for x in xs]
-                no, score, all_there = best_entry(cands, weights, idf, vocab)
-                own = not all_there and n >= 3 and n > own_share * entry_counts.get(no, 0)
-                out.append((v, no if score >= threshold + (0.0 if all_there else 0.1) and not own else -1, score))
-            yield pd.DataFrame(out, columns=["v", "e", "s"])
-
-    ranked = whole.mapInPandas(rank, "v string, e bigint, s double")
-    asked = typed.where(~F.col("v").isin(sorted(exact))) if exact else typed
-    return asked.join(ranked, "v", "left").select(F.col("k").alias(key), F.coalesce("e", F.lit(-1).cast("bigint")).alias(entry_key), F.coalesce("s", F.lit(0.0)).alias("score"))
+            for h, n, xs, es in zip(b["h"], b["n"], b["x"], b["es"], strict=True):
+                words = [(x["m"], x["w"], [(c["u"], c["sim"], c["parts"], c["gain"]) for c in x["cs"]] if x["cs"] is not None else []) for x in xs]
+                best = min(((-s, e["no"], whole_there, e["listed_n"]) for e in es for s, whole_there in [soft_cosine(words, [(w["p"], w["w"]) for w in e["want"]])] if s), default=None, key=lambda x: x[:2])
+                if best:
+                    s, no, all_there, listed_n = -best[0], *best[1:]
+                    if s >= threshold + (0.0 if all_there else 0.1) and (all_there or n <= own_share * (listed_n + SEEN)):
+                        out.append((h, no, s))
+            yield pd.DataFrame(out, columns=["h", "e", "s"])
+
+    ranked = open_values.select("h", "n", "x", "es").mapInPandas(rank, f"h binary, e {no_kind}, s double")
+    asked = typed.join(listed.select(F.col("text").alias("v")).distinct(), "v", "left_anti").select("k", digest(F.col("v")).alias("h"))
+    return asked.join(ranked, "h", "left").select(F.col("k").alias(key), F.coalesce("e", F.lit(-1).cast(no_kind)).alias(entry_key), F.coalesce("s", F.lit(0.0)).alias("score"))
+
+
+def _glued(split: DataFrame, units: DataFrame) -> DataFrame:
+    """Values with their distinct tokens ``ts`` and how often each stands there, ``ms``.
+
+    Two or three neighbours that together write a token of the list are taken as one, unless all are listed themselves.
+    """
+    single = units.where("not run").select("u")
+    runs = lambda k: F.transform(F.sequence(F.lit(0), F.size("seq") - k), lambda i: F.struct(i.alias("i"), F.lit(k).alias("k"), F.array_join(F.slice("seq", i + 1, k), "").alias("u"), F.slice("seq", i + 1, k).alias("ps")))
+    both = F.when(F.size("seq") > 2, F.concat(runs(2), runs(3))).when(F.size("seq") == 2, runs(2))
+    hits = split.select("h", F.explode(both).alias("x")).select("h", "x.*").join(single, "u")
+    loose = hits.select("h", "i", "k", F.explode("ps").alias("p")).join(single.select(F.col("u").alias("p"), F.lit(True).alias("own")), "p", "left").groupBy("h", "i", "k").agg(F.min(F.coalesce("own", F.lit(False))).alias("all_own"))
+    at = loose.where("not all_own").groupBy("h", "i").agg(F.max("k").alias("k")).groupBy("h").agg(F.collect_list(F.struct("i", "k")).alias("at"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            js, ts, ms = [], [], []
+            for seq, at_ in zip(b["seq"], b["at"], strict=True):
+                glued = glue(list(seq), {x["i"]: x["k"] for x in at_} if at_ is not None else {})
+                found = Counter(glued)
+                js.append(" ".join(glued))
+                ts.append(list(found))
+                ms.append(list(found.values()))
+            yield pd.DataFrame({"h": b["h"], "n": b["n"], "j": js, "ts": ts, "ms": ms})
+
+    return split.join(at, "h", "left").mapInPandas(write, "h binary, n bigint, j string, ts array<string>, ms array<int>").withColumn("j", F.xxhash64("j"))
+
+
+def _repairs(counted: DataFrame, units: DataFrame, own_share: float) -> DataFrame:
+    """Tokens with the units each may stand for, ``us``, the likeliest first, and the likeliest itself if it's like enough, ``rep``."""
+
+    def signs(words: pd.Series) -> pd.Series:
+        return words.map(token_signs)
+
+    signs.__annotations__ = {"words": pd.Series, "return": pd.Series}
+
+    def keys(words: pd.Series, company: pd.Series) -> pd.Series:
+        return pd.Series([unit_signs(u, c) for u, c in zip(words, company, strict=True)])
+
+    keys.__annotations__ = {"words": pd.Series, "company": pd.Series, "return": pd.Series}
+
+    def compare(ts: pd.Series, us: pd.Series, company: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([likeness(t, u, c) for t, u, c in zip(ts, us, company, strict=True)], columns=["sure", "slip"])
+
+    compare.__annotations__ = {"ts": pd.Series, "us": pd.Series, "company": pd.Series, "return": pd.DataFrame}
+    strings = T.ArrayType(T.StringType())
+    named = units.join(counted.select(F.col("t").alias("u"), F.col("c").alias("uc")), "u", "left")
+    exact = counted.join(units, F.col("t") == F.col("u")).select("t", F.array(F.struct(F.col("u"), F.lit(1.0).alias("sim"), "parts")).alias("us"), F.col("t").alias("rep"))
+    open_tokens = counted.join(units.select(F.col("u").alias("t")), "t", "left_anti")
+    left = open_tokens.select("t", "c", F.explode(F.pandas_udf(signs, strings)("t")).alias("sign"))
+    right = units.select("u", "company", F.explode(F.pandas_udf(keys, strings)("u", "company")).alias("sign"))
+    pairs = left.join(right, "sign").select("t", "c", "u", "company").distinct()
+    like = pairs.withColumn("s", F.pandas_udf(compare, "sure double, slip double")("t", "u", "company")).join(named.select("u", "uc", "parts"), "u")
+    own = F.col("c") > F.lit(own_share) * (F.coalesce("uc", F.lit(0)) + F.lit(SEEN))
+    sim = F.when(own, F.col("s.sure")).otherwise(F.col("s.slip"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("o"), (-F.coalesce("uc", F.lit(0))).alias("f"), "u", "sim", "parts")))
+    near = like.withColumn("sim", sim).where("sim > 0").groupBy("t").agg(ordered.alias("x"))
+    first = F.get("x", F.lit(0))
+    found = near.select("t", F.transform("x", lambda x: F.struct(x["u"].alias("u"), x["sim"].alias("sim"), x["parts"].alias("parts"))).alias("us"), F.when(first["sim"] > 0.5, first["u"]).alias("rep"))
+    return exact.unionByName(found)
+
+
+def _text_counts(worded: DataFrame) -> DataFrame:
+    """How often each value occurs, in whatever layout."""
+    return worded.select("h", "j").join(worded.groupBy("j").agg(F.sum("n").alias("n")), "j").select("h", "n")
+
+
+def _entry_counts(worded: DataFrame, entry_rows: DataFrame) -> DataFrame:
+    """Entries with the number of rows that are an entry but for layout."""
+    counts = worded.groupBy("j").agg(F.sum("n").alias("listed_n"))
+    return entry_rows.join(counts, "j", "left").select("no", "want", F.coalesce("listed_n", F.lit(0)).alias("listed_n"))
