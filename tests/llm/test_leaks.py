@@ -1,6 +1,8 @@
 import random
 
-from hearken.llm.leaks import leaked, letters, without_shared
+import numpy as np
+
+from hearken.llm.leaks import Q, code, grams, held_items, leaked, letters, wanted
 
 rng = random.Random(8)
 WORDS = ["".join(rng.choice("abdegiklmnoprstuv") for _ in range(rng.randint(3, 9))) for _ in range(900)]
@@ -47,6 +49,23 @@ def test_copies_and_common_wording(spark):
     assert {i for d, i in found if d == 1} == set(range(5)) and {i for d, i in found if d == 2} == set(range(10, 20))
 
 
-def test_parts():
+def test_short_items(spark):
+    items = [(1, "Who sang Blue Tin Harbour?"), (2, "green tea"), (3, "no"), (4, "Seven brass kettles"), (5, "Seven brass kettles"), (6, "seven brass kettles!"), (7, "seven br ass kettles")]
+    docs = [(1, "He asked: who sang “Blue Tin Harbour”? Nobody knew.", ""), (2, "evergreen teas", ""), (3, "a GREEN-tea, no more", ""), (4, "nothing", ""), (5, "there were seven brass kettles here", ""), (6, "seven brassy kettles", "")]
+    got = leaked(spark.createDataFrame(docs, "doc int, body string, item string"), spark.createDataFrame(items, "item int, words string"), key="doc", text="body", item_key="item", item_text="words")
+    found = {(r.doc, r.item) for r in got.collect()}
+    assert {(1, 1), (3, 2), (3, 3), (5, 4), (5, 5), (5, 6)} <= found
+    assert not {(2, 2), (4, 3)} & found and {i for d, i in found if d == 4 or d == 2} == set()
+
+
+def test_parts(spark):
     assert letters("A-b <i>&eacute;​C</i> 1")[0] == "abéc1"
-    assert without_shared([(1, "Same. One x."), (2, "Same. Two y."), (3, "Same. Three z.")], shared=3) == [(1, "One x."), (2, "Two y."), (3, "Three z.")]
+    rows = [(1, "Same. One x."), (2, "Same. Two y."), (3, "Same. Three z."), (4, "All alike. Same."), (5, "All alike. Same."), (6, "All alike. Same.")]
+    held = held_items(spark.createDataFrame(rows, "i int, t string"), item_key="i", item_text="t", shared=3, min_words=20)
+    assert {tuple(sorted(r.ids)): r.flat for r in held.collect()} == {(1,): "onex", (2,): "twoy", (3,): "threez", (4, 5, 6): "allalike"}
+    codes = code("".join(rng.choice("abc") for _ in range(300)))
+    for n in range(1, 20):
+        g = grams(codes, n)
+        assert len(g) == 301 - n and len(set(g.tolist())) == len({codes[i : i + n].tobytes() for i in range(len(g))})
+    word = np.repeat(np.arange(25), 5)
+    assert wanted(word, 20) == (100, 100 - Q + 1 - 5 * 12) and wanted(word[:15], 20) == (15, 0)
