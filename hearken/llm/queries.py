@@ -72,9 +72,17 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), items, key="doc_id", text="text", item_key="item_id", item_text="text").select("doc_id", "item_id")
 
 
+def _rated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The hand labels: one half, by hash, for the label model and classifier, the other, held out, for the threshold."""
+    labels = table(spark, folder, "labels")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    return labels.where(half == 0), labels.where(half == 1)
+
+
 def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, float]:
-    scores = cut(score_texts(table(spark, folder, "documents"), key="doc_id", text="text"))
-    return scores, best_threshold(scores, table(spark, folder, "labels"), key="doc_id", label="toxic")
+    fitted, held_out = _rated(spark, folder)
+    scores = cut(score_texts(table(spark, folder, "documents"), key="doc_id", text="text", labels=fitted, label="toxic"))
+    return scores, best_threshold(scores, held_out, key="doc_id", label="toxic")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,14 +94,14 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Documents, and the share of such ones, of each source."""
     scores, threshold = _scores(spark, folder)
-    docs = table(spark, folder, "documents").select("doc_id", "source").join(scores, "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "source").join(scores.groupBy("doc_id").agg(F.max("score").alias("score")), "doc_id")
     hit = (F.col("score") >= threshold).cast("int")
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_found"), F.avg(hit).alias("rate"))
 
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score of every document."""
-    return score_texts(table(spark, folder, "documents"), key="doc_id", text="text")
+    return score_texts(table(spark, folder, "documents"), key="doc_id", text="text", labels=_rated(spark, folder)[0], label="toxic")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p3_found": p3_found, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_rates": p10_rates, "p10_scores": p10_scores}
