@@ -1,15 +1,17 @@
 """Several values packed in one field: expectation-maximisation segmentation with Viterbi decoding.
 
 A field is cut into atoms at every candidate mark outside quotes: a parting punctuation character, or a short
-word between blanks. Whether a kind of mark parts values is learnt from the whole column: each text is a lattice
-of its possible segmentations, weighted by how often their values occur and how often each kind of mark parts.
+word between blanks. How likely a kind of mark parts values is learnt from the whole column: each text is a lattice
+of its possible segmentations, weighted by how often their values occur and how often each kind of mark parts. The
+likeliest path through its lattice is what a text is parted into.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,8 +27,6 @@ JOINERS = ("and", "with", "x", "feat.", "feat", "ft.", "ft", "featuring", "vs.",
 
 #: Prior weight, as (parts, doesn't), of a punctuation mark, a known joining word and any other short word.
 PRIOR = {"punctuation": (50.0, 1.0), "joiner": (20.0, 1.0), "word": (1.0, 20.0)}
-#: Probability of parting up to which a kind of mark never parts.
-UNDECIDED = 0.35
 #: Weight of values met nowhere else, before it falls tenfold with each word.
 UNSEEN = 0.3
 WORD = re.compile(r"[^\W\d_]{1,4}\.?|featuring")
@@ -61,42 +61,36 @@ def clean(value: str) -> str:
     return value
 
 
+#: What may matter in a text: quotes, a tab, punctuation, a dash between blanks, a short word between blanks.
+_STOPS = re.compile(rf"[{re.escape(''.join(QUOTES))}\t{re.escape(PUNCTUATION)}]|(?<=\s)[{re.escape(DASHES)}]+(?=\s)|(?<=\s)(?:{WORD.pattern})(?=\s)")
+
+
 def parse(text: str) -> tuple[list[str], list[str], str | None]:
     """Pieces between candidate marks, the kinds of these marks, and the title after a dash or tab (None without).
 
-    The title begins after the first dash-like mark with blanks on both sides, or tab, outside quotes.
+    The title begins after the first dash-like mark with blanks on both sides, or tab, outside quotes. Once a quote isn't closed, no
+    later one of its kind opens a span.
     """
     pieces: list[str] = []
     marks: list[str] = []
-    start = i = 0
-    n = len(text)
-    while i < n:
-        ch = text[i]
-        if ch in QUOTES and (end := quoted_end(text, i)) > 0:
-            i = end
-        elif ch == "\t":
-            pieces.append(text[start:i])
-            return pieces, marks, text[i + 1 :]
-        elif ch in PUNCTUATION:
-            pieces.append(text[start:i])
-            marks.append(ch)
-            i = start = i + 1
-        elif i and text[i - 1].isspace() and not ch.isspace():
-            if ch in DASHES:
-                end = i
-                while end < n and text[end] in DASHES:
-                    end += 1
-                if end < n and text[end].isspace():
-                    pieces.append(text[start:i])
-                    return pieces, marks, text[end:]
-            elif (m := WORD.match(text, i)) and m.end() < n and text[m.end()].isspace() and (m[0].islower()):
-                pieces.append(text[start:i])
-                marks.append(m[0])
-                i = start = m.end()
-                continue
-            i += 1
-        else:
-            i += 1
+    start = at = 0
+    never: set[str] = set()
+    while m := _STOPS.search(text, at):
+        mark, at = m[0], m.end()
+        if mark in QUOTES:
+            if mark not in never:
+                end = quoted_end(text, m.start())
+                if end > 0:
+                    at = end
+                elif not m.start() or text[m.start() - 1].isspace() or text[m.start() - 1] in PUNCTUATION:
+                    never.add(mark)
+        elif mark == "\t" or mark[0] in DASHES:
+            pieces.append(text[start : m.start()])
+            return pieces, marks, text[at:]
+        elif mark in PUNCTUATION or mark.islower():
+            pieces.append(text[start : m.start()])
+            marks.append(mark)
+            start = at
     pieces.append(text[start:])
     return pieces, marks, None
 
@@ -105,18 +99,25 @@ def kind_of(mark: str) -> str:
     return "punctuation" if mark in PUNCTUATION else "joiner" if mark in JOINERS else "word"
 
 
-def spans(pieces: list[str], marks: list[str], longest: int) -> Iterator[tuple[int, int, str]]:
-    """Candidate values (from piece, to piece exclusive, text): all of up to ``longest`` pieces and, however long, all that
-    begin or end a run between certain marks (punctuation, joiners), and the whole text; so no mark must be cut at."""
-    n = len(pieces)
-    stops = [b for b in range(1, n) if kind_of(marks[b - 1]) != "word"] + [n]
+def places(marks: list[str], longest: int) -> list[tuple[int, int]]:
+    """Candidate values, from piece to piece exclusive: all of up to ``longest`` pieces and, however long, all that
+    begin or end a run between marks that aren't plain words, and the whole text; so no mark must be cut at."""
+    n = len(marks) + 1
+    if n == 1:
+        return [(0, 1)]
     found: dict[tuple[int, int], None] = {(a, b): None for a in range(n) for b in range(a + 1, min(n, a + longest) + 1)}
-    start = 0
-    for stop in stops:
-        found |= {(start, b): None for b in range(start + 1, stop + 1)} | {(a, stop): None for a in range(start, stop)}
-        start = stop
-    found[0, n] = None
-    for a, b in found:
+    if n > longest:
+        start = 0
+        for stop in [b for b in range(1, n) if kind_of(marks[b - 1]) != "word"] + [n]:
+            found |= {(start, b): None for b in range(start + 1, stop + 1)} | {(a, stop): None for a in range(start, stop)}
+            start = stop
+        found[0, n] = None
+    return list(found)
+
+
+def spans(pieces: list[str], marks: list[str], longest: int) -> Iterator[tuple[int, int, str]]:
+    """Candidate values (from piece, to piece exclusive, text), in the order of :func:`places`."""
+    for a, b in places(marks, longest):
         yield a, b, clean("".join(p + (marks[j] if j < b - 1 else "") for j, p in enumerate(pieces[a:b], a)))
 
 
@@ -145,133 +146,141 @@ def viterbi(k: int, edges: list[tuple[int, int, float]]) -> list[tuple[int, int]
     return path[::-1]
 
 
-def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: int = 2, longest: int = 4, max_marks: int = 20_000) -> DataFrame:
+def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: int = 3, longest: int = 8) -> DataFrame:
     """One row for each value packed in the fields: ``key``, ``field_name``, ``pos`` (from 1), ``item_value``.
 
-    ``fields`` maps column names to the field names of the result. ``rounds`` is the number of EM rounds,
+    ``fields`` maps column names to the field names of the result. ``rounds`` is the number of EM rounds before the decoding,
     ``longest`` the most atoms up to which all spans are weighed as unquoted values; of longer ones those that
-    begin or end a run between certain marks, and the whole text (quoted spans are one atom however many marks they hold). ``max_marks`` bounds the kinds of marks,
-    words of at most five characters, that go to the driver; more raise.
+    begin or end a run between marks other than plain words, and the whole text (quoted spans are one atom however many marks they hold).
 
-    A kind of mark whose learnt probability of parting reaches a half parts wherever it stands outside quotes:
-    in this kind of field a value that holds such a mark is quoted. One whose probability is at most
-    :data:`UNDECIDED` never parts. Texts with kinds between are decoded by Viterbi.
+    EM and decoding run over the distinct packed parts, what comes before a title, each counted once however often it occurs. A
+    round joins their spans to the values that others have too (one met nowhere else weighs the same whatever its frequency) and to the kinds of
+    marks, by 64-bit hashes; the sums combine before they are sent, so a value or mark that holds any share of the rows is one row a task.
 
     Defined results: null and blank fields give no rows, empty values don't count, a repeated row gives its
     values again under its own key, ties go to the finer split, texts of any length are taken whole, other columns are
-    ignored. Distinct texts are parsed once and learnt from once, however often they occur; the shuffles of a round carry
-    64-bit hashes of values and combine before they send, so a text or value that holds any share of the
-    rows stays one row a task.
+    ignored.
     """
     named = F.explode(F.array(*[F.struct(F.lit(name).alias("f"), F.col(c).alias("t")) for c, name in fields.items()]))
     long = rows.select(F.col(key).alias("k"), named.alias("x")).select("k", "x.f", "x.t").where(F.col("t").isNotNull() & F.col("t").rlike(r"\S"))
-    texts = long.select("t").distinct()
 
-    def lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            parts, values, titles = [], [], []
             for text in batch["t"]:
-                pieces, marks, _ = parse(text)
-                k = len(pieces)
-                for a, b, value in spans(pieces, marks, longest):
-                    out.append((text, k, a, b, value, len(value.split()), marks[a : b - 1], marks[b - 1] if b < k else None))
-            yield pd.DataFrame(out, columns=["t", "k", "a", "b", "v", "words", "inner", "next"])
-
-    schema = "t string, k int, a int, b int, v string, words int, inner array<string>, next string"
-    edges = cut(texts.mapInPandas(lattice, schema).select(F.xxhash64("t").alias("h"), "k", "a", "b", "words", F.xxhash64("v").alias("vh"), "inner", "next", F.lit(0.0).alias("p")))
-
-    # Fields with a single atom before the title seed the values; marks begin at their priors.
-    values = edges.where("k = 1").groupBy("vh").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    mark_p: dict[str, float] = {}
-    for _ in range(rounds):
-        total = float(values.agg(F.sum("n")).first()[0] or 0.0)
-        edges = cut(_posterior(edges, values, total, mark_p))
-        values = cut(edges.groupBy("vh").agg(F.sum("p").alias("n")))
-        inside = edges.where("b > a + 1").select(F.explode("inner").alias("m"), F.col("p").alias("inner"))
-        after = edges.where("next is not null").select(F.col("next").alias("m"), F.col("p").alias("outer"))
-        counted = inside.groupBy("m").agg(F.sum("inner").alias("inner")).join(after.groupBy("m").agg(F.sum("outer").alias("outer")), "m", "full").limit(max_marks + 1).collect()
-        if len(counted) > max_marks:
-            raise ValueError(f"more than {max_marks} kinds of marks")
-        mark_p = {}
-        for r in counted:
-            yes, no = PRIOR[kind_of(r["m"])]
-            yes, no = yes + (r["outer"] or 0.0), no + (r["inner"] or 0.0)
-            mark_p[r["m"]] = yes / (yes + no)
-    parting = {m: p >= 0.5 for m, p in mark_p.items()}
-
-    # A kind parts everywhere or nowhere; only lattices with a mark of an undecided kind are left to decode.
-    total = float(values.agg(F.sum("n")).first()[0] or 0.0)
-    settled = [m for m, p in parting.items() if p] or [""]
-    undecided = [m for m, p in mark_p.items() if UNDECIDED < p < 0.5] or [""]
-    open_texts = edges.where(F.col("next").isin(undecided)).select("h").distinct()
-    ambiguous = edges.join(open_texts, "h", "left_semi").where(~F.exists("inner", lambda m: m.isin(settled)))
-    cuts = _decoded(ambiguous, values, total, {m: p if p > UNDECIDED else 0.0 for m, p in mark_p.items()})
-    decoded = texts.select("t", F.xxhash64("t").alias("h")).join(cuts, "h", "left").mapInPandas(_writer(parting), "t string, items array<string>")
-    return long.join(decoded, "t").select(F.col("k").alias(key), F.col("f").alias("field_name"), F.posexplode("items").alias("pos", "item_value")).select(key, "field_name", (F.col("pos") + 1).alias("pos"), "item_value")
-
-
-def _scored(edges: DataFrame, values: DataFrame, total: float) -> DataFrame:
-    """Lattices of whole texts: a row for each text with its weighted edges."""
-    # What a text itself added to a value doesn't count for it. A value met nowhere else has a base probability that falls with its words.
-    others = F.greatest(F.coalesce("n", F.lit(0.0)) - F.col("p"), F.lit(0.0))
-    share = others * (1 - UNSEEN) / max(total, 1.0) + UNSEEN * F.pow(F.lit(10.0), -F.greatest(F.lit(1), F.col("words")))
-    # The power of a very long value underflows to 0, its logarithm doesn't.
-    unseen = F.lit(math.log(UNSEEN)) - F.col("words") * math.log(10.0)
-    weight = F.when(F.col("words") == 0, F.lit(-1.0)).when(share > 0, F.log(share)).otherwise(unseen)
-    scored = edges.join(values, "vh", "left").select("h", "k", F.struct("a", "b", "words", "vh", "inner", "next", weight.alias("lw")).alias("e"))
-    return scored.groupBy("h", "k").agg(F.collect_list("e").alias("es"))
-
-
-def _weights(edges: list, mark_p: dict[str, float]) -> list[tuple[int, int, float]]:
-    def p(m: str) -> float:
-        yes, no = PRIOR[kind_of(m)]
-        return min(1 - 1e-9, max(1e-9, mark_p.get(m, yes / (yes + no))))
-
-    out = []
-    for e in edges:
-        lw = e["lw"] + sum(math.log(1 - p(m)) for m in e["inner"])
-        if e["next"] is not None:
-            lw += math.log(p(e["next"]))
-        out.append((e["a"], e["b"], lw))
-    return out
+                pieces, marks, title = parse(text)
+                parts.append("".join(p + m for p, m in zip(pieces, [*marks, ""], strict=True)).strip())
+                values.append(clean(parts[-1]))
+                titles.append(None if title is None else clean(title))
+            yield pd.DataFrame({"t": batch["t"], "part": parts, "value": values, "title": titles})
 
+    parsed = cut(long.select("t").distinct().mapInPandas(head, "t string, part string, value string, title string"))
 
-def _posterior(edges: DataFrame, values: DataFrame, total: float, mark_p: dict[str, float]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for h, k, es in zip(batch["h"], batch["k"], batch["es"], strict=True):
-                lat = _weights(es, mark_p)
-                out += [(h, k, a, b, e["words"], e["vh"], e["inner"], e["next"], p) for e, (a, b, _), p in zip(es, lat, expected(k, lat), strict=True)]
-            yield pd.DataFrame(out, columns=["h", "k", "a", "b", "words", "vh", "inner", "next", "p"])
+            for part in batch["part"]:
+                pieces, marks, _ = parse(part)
+                out.append((part, [v for _, _, v in spans(pieces, marks, longest)], sorted(set(marks))))
+            yield pd.DataFrame(out, columns=["part", "vs", "ms"])
+
+    made = parsed.select("part").distinct().mapInPandas(lattice, "part string, vs array<string>, ms array<string>")
+    lattices = cut(made.select(F.monotonically_increasing_id().alias("id"), "part", F.transform("vs", lambda v: F.xxhash64(F.lit("value"), v)).alias("vs"), F.transform("ms", lambda m: F.xxhash64(F.lit("mark"), m)).alias("ms")))
+    open_ones = lattices.where(F.size("ms") > 0)
+
+    # Titles and fields with a single atom before the title seed the values. Places from 0 on are spans, -1 and less the marks.
+    each = lattices.select("id", F.posexplode("vs").alias("i", "h"), (F.size("ms") == 0).alias("alone"))
+    titles = parsed.where("title <> ''").select(F.xxhash64(F.lit("value"), "title").alias("h"), F.lit(True).alias("alone"))
+    met = each.select("h", "alone").unionByName(titles).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("alone").cast("double")).alias("n"))
+    seeds = cut(met.where("c > 1").select("h", "n"))
+    of_marks = open_ones.select("id", F.posexplode("ms").alias("i", "h")).select("id", (-1 - F.col("i")).alias("i"), "h")
+    shared = cut(each.where("not alone").select("id", "i", "h").join(seeds.select("h"), "h", "left_semi").unionByName(of_marks))
+    counts = seeds.select("h", "n", F.lit(0.0).alias("other"))
+    mine = shared.select("id", "i", "h", F.lit(0.0).alias("p"))
+    alone = total = float(lattices.where(F.size("ms") == 0).count() + parsed.where("title <> ''").count())
+    for r in range(rounds + 1):
+        own = F.when(F.col("i") >= 0, F.col("p")).otherwise(0.0)
+        known = mine.join(counts, "h", "left").select("id", F.struct("i", "h", (F.coalesce("n", F.lit(0.0)) - own).alias("n"), F.coalesce("other", F.lit(0.0)).alias("other")).alias("e"))
+        read = open_ones.select("id", "part").join(known.groupBy("id").agg(F.collect_list("e").alias("es")), "id")
+        if r == rounds:
+            decoded = read.mapInPandas(_decoder(longest, total), "part string, items array<string>")
+            break
+        told = cut(read.select("id", "part", "es").mapInPandas(_expecter(longest, total), "id bigint, i int, h bigint, p double, other double"))
+        total = alone + float(told.where("h is null").agg(F.sum("p")).first()[0] or 0.0)
+        fresh = told.where("h is not null").groupBy("h").agg(F.sum("p").alias("n"), F.sum("other").alias("other"))
+        counts = cut(fresh.join(seeds.select("h", F.col("n").alias("seed")), "h", "full").select("h", (F.coalesce("n", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0))).alias("n"), F.coalesce("other", F.lit(0.0)).alias("other")))
+        mine = told.where("h is not null").select("id", "i", "h", "p")
+    whole = parsed.join(decoded, "part", "left")
+    items = F.coalesce("items", F.array("value"))
+    with_title = F.filter(F.concat(items, F.when(F.col("title").isNull(), F.array().cast("array<string>")).otherwise(F.array("title"))), lambda v: v != "")
+    return long.join(whole.select("t", with_title.alias("items")), "t").select(F.col("k").alias(key), F.col("f").alias("field_name"), F.posexplode("items").alias("pos", "item_value")).select(key, "field_name", (F.col("pos") + 1).alias("pos"), "item_value")
+
+
+def _edges(part: str, es: list, longest: int, total: float) -> tuple[list[str], list[str], list[tuple[int, int, float]], list[str]]:
+    """Pieces, marks, weighted edges and kinds of marks of a packed part, given what is known of its spans and marks."""
+    pieces, marks, _ = parse(part)
+    kinds = sorted(set(marks))
+    seen = {e["i"]: e for e in es}
+    chance = {}
+    for j, m in enumerate(kinds):
+        yes, no = PRIOR[kind_of(m)]
+        e = seen.get(-1 - j)
+        yes, no = (yes + max(0.0, e["n"]), no + max(0.0, e["other"])) if e else (yes, no)
+        chance[m] = min(1 - 1e-9, max(1e-9, yes / (yes + no)))
+    cut_at = [math.log(chance[m]) for m in marks]
+    held = [0.0]
+    for m in marks:
+        held.append(held[-1] + math.log(1 - chance[m]))
+    words = [len(p.split()) for p in pieces]
+    upto = [0]
+    for w in words:
+        upto.append(upto[-1] + w)
+    out = []
+    for i, (a, b) in enumerate(places(marks, longest)):
+        n_words = upto[b] - upto[a] + sum(m[0].isalpha() for m in marks[a : b - 1])
+        e = seen.get(i)
+        # What a text itself added to a value doesn't count for it. A value met nowhere else has a base probability that falls with its words.
+        others = max(0.0, e["n"]) if e else 0.0
+        share = others * (1 - UNSEEN) / max(total, 1.0) + (UNSEEN * 10.0 ** -max(1, n_words) if n_words < 300 else 0.0)
+        weight = -1.0 if n_words == 0 else math.log(share) if share > 0 else math.log(UNSEEN) - n_words * math.log(10.0)
+        out.append((a, b, weight + held[b - 1] - held[a] + (cut_at[b - 1] if b <= len(marks) else 0.0)))
+    return pieces, marks, out, kinds
 
-    return _scored(edges, values, total).mapInPandas(run, "h bigint, k int, a int, b int, words int, vh bigint, inner array<string>, next string, p double")
 
+def _expecter(longest: int, total: float):
+    """E-step: for each shared span its probability, for each kind of mark how often it parts and how often it doesn't; without place, the values of a part."""
 
-def _decoded(edges: DataFrame, values: DataFrame, total: float, mark_p: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            paths = [[b for _, b in viterbi(k, _weights(es, mark_p))] for k, es in zip(batch["k"], batch["es"], strict=True)]
-            yield pd.DataFrame({"h": batch["h"], "ends": paths})
+            out = []
+            for id_, part, es in zip(batch["id"], batch["part"], batch["es"], strict=True):
+                _, marks, edges, kinds = _edges(part, es, longest, total)
+                probability = expected(len(marks) + 1, edges)
+                cuts = [0.0] * (len(marks) + 1)
+                for (_, b, _), p in zip(edges, probability, strict=True):
+                    cuts[b - 1] += p
+                # A text counts once for a kind of mark however often it holds it.
+                often, parts, stays = Counter(marks), dict.fromkeys(kinds, 0.0), dict.fromkeys(kinds, 0.0)
+                for m, p in zip(marks, cuts, strict=False):
+                    parts[m] += p / often[m]
+                    stays[m] += max(0.0, 1 - p) / often[m]
+                for e in es:
+                    i = e["i"]
+                    out.append((id_, i, e["h"], probability[i], 0.0) if i >= 0 else (id_, i, e["h"], parts[kinds[-1 - i]], stays[kinds[-1 - i]]))
+                out.append((id_, None, None, sum(probability), 0.0))
+            yield pd.DataFrame(out, columns=["id", "i", "h", "p", "other"]).astype({"i": "Int32", "h": "Int64"})
 
-    return _scored(edges, values, total).mapInPandas(run, "h bigint, ends array<int>")
+    return run
 
 
-def _writer(parting: dict[str, bool]):
+def _decoder(longest: int, total: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             items = []
-            for text, ends in zip(batch["t"], batch["ends"], strict=True):
-                pieces, marks, title = parse(text)
-                stops = [b for b in range(1, len(pieces) + 1) if b == len(pieces) or parting.get(marks[b - 1], False)] if ends is None else [int(b) for b in ends]
-                found, a = [], 0
-                for b in stops:
-                    whole = "".join(p + (marks[j] if j < b - 1 else "") for j, p in enumerate(pieces[a:b], a))
-                    found.append(clean(whole))
-                    a = b
-                if title is not None:
-                    found.append(clean(title))
-                items.append([x for x in found if x])
-            yield pd.DataFrame({"t": batch["t"], "items": items})
+            for part, es in zip(batch["part"], batch["es"], strict=True):
+                pieces, marks, edges, _ = _edges(part, es, longest, total)
+                path = viterbi(len(marks) + 1, edges)
+                items.append([clean("".join(p + (marks[j] if j < b - 1 else "") for j, p in enumerate(pieces[a:b], a))) for a, b in path])
+            yield pd.DataFrame({"part": batch["part"], "items": items})
 
     return run
