@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearken.llm.listmatch import typos
+from hearken.session import cut
 
 #: Words that name an edition of the same record, and words before a guest.
 EDITION = frozenset(
@@ -20,6 +21,9 @@ EDITION = frozenset(
 GUEST = frozenset("feat ft featuring with and x vs".split())
 #: Figures written as words, and the other way to write "no".
 FIGURES = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())} | {"number": "no", "nr": "no"}
+_SPELT: dict[str, list[str]] = {}
+for _w, _n in FIGURES.items():
+    _SPELT.setdefault(_n, []).append(_w)
 _WORD = re.compile(r"[^\W_]+")
 _YEAR = re.compile(r"(19|20)\d\d|\d{1,3}(st|nd|rd|th)")
 _GUEST_MARK = re.compile(r"\s*[&+,;/]\s*")
@@ -33,20 +37,37 @@ RULES = (
     ("guests of the act set aside", "act_lead", "album_core"),
     ("slips in the record", "act_lead", "album_fixed"),
     ("record cut short", "act_lead", "album_cut"),
+    ("first names as initials", "act_initials", "album_core"),
     ("slips in the act", "act_fixed", "album_core"),
     ("slips in both", "act_fixed", "album_fixed"),
     ("slips in the act, record cut short", "act_fixed", "album_cut"),
 )
 
-#: Labelled outcomes of each rule, (right, wrong): distinct pairs of names drawn at random and judged by hand.
-LABELLED = dict(zip((name for name, _, _ in RULES), ((12, 0), (14, 0), (14, 0), (14, 0), (26, 0), (26, 0), (26, 0), (26, 0), (7, 0)), strict=True))
+#: Labelled outcomes of each rule, (right, wrong): distinct pairs of names drawn at random and judged by hand. Used where no labels are given.
+LABELLED = dict(zip((name for name, _, _ in RULES), ((12, 0), (14, 0), (14, 0), (14, 0), (26, 0), (26, 0), (14, 0), (26, 0), (26, 0), (7, 0)), strict=True))
 
 
-def confidence(right: int, wrong: int, *, prior: float = 0.5, weight: float = 2.0) -> float:
-    """Smoothed precision of a rule: its labels and ``weight`` pseudo-labels at ``prior``."""
+def confidence(right: float, wrong: float, *, prior: float = 0.5, weight: float = 2.0) -> float:
+    """Smoothed precision: labels and ``weight`` pseudo-labels at ``prior``."""
     return (right + prior * weight) / (right + wrong + weight)
 
 
+def confidences(labelled: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Confidence of each rule, never rising as rules weaken.
+
+    Neighbours whose precisions would rise are pooled, as in isotonic regression, so that few labels of a strong rule don't put it
+    below a weaker one with more. A rule's smoothed precision counts before pooling; pooled ones are smoothed once.
+    """
+    pools: list[tuple[list[str], int, int]] = []
+    for name, _, _ in RULES:
+        names, right, wrong = [name], *labelled.get(name, (0, 0))
+        while pools and confidence(*pools[-1][1:]) < confidence(right, wrong):
+            before, r, w = pools.pop()
+            names, right, wrong = before + names, right + r, wrong + w
+        pools.append((names, right, wrong))
+    return {name: confidence(right, wrong) for names, right, wrong in pools for name in names}
+
+
 def words(text: str) -> list[str]:
     """Words in one case, without accents and invisible marks; an apostrophe joins."""
     plain = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
@@ -86,6 +107,8 @@ def near(word: str, other: str) -> bool:
     """Whether one is the other with a slip: two edits, one in words under five letters, none in single letters; figures don't slip, and an s at the end isn't one."""
     if word == other:
         return True
+    if other in _SPELT and word.isalpha():
+        return any(typos(word, spelt, 1) <= 1 for spelt in _SPELT[other] if len(spelt) > 3)
     if any(c.isdigit() for c in other) or len(other) < 2 or word == other + "s":
         return False
     most = 1 if len(other) < 5 else 2
@@ -118,17 +141,21 @@ class Keys:
             for w in ws:
                 for d in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
                     self.by_hint[d].add(a)
+        self.by_initials: dict[tuple[str, ...], list[str]] = defaultdict(list)
+        for a, (_, ws) in self.acts.items():
+            if len(ws) > 1:
+                self.by_initials[*(w[0] for w in ws[:-1]), ws[-1]].append(a)
         self.memo: dict[str, tuple] = {}
 
-    def act(self, name: str) -> tuple[str, str | None, str | None, str | None]:
-        """Same letters, same words in any order, leading act before its guests, repaired act."""
+    def act(self, name: str) -> tuple[str, str | None, str | None, str | None, str | None]:
+        """Same letters, same words in any order, leading act before its guests, repaired act, act whose first names are written as initials."""
         if name not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[name] = self._act(name)
         return self.memo[name]
 
-    def _act(self, name: str) -> tuple[str, str | None, str | None, str | None]:
+    def _act(self, name: str) -> tuple[str, str | None, str | None, str | None, str | None]:
         ws = plain(name)
         same = "".join(ws)
         by_words = self._listed(ws)
@@ -139,7 +166,8 @@ class Keys:
         fixed = lead
         for part in [ws, *leads]:
             fixed = fixed or self._repaired(part)
-        return same, by_words, lead, fixed
+        initials = self.by_initials.get(tuple(ws), ()) if len(ws) > 1 and all(len(w) == 1 for w in ws[:-1]) else ()
+        return same, by_words, lead, fixed, fixed or (initials[0] if len(initials) == 1 else None)
 
     def _listed(self, ws: Sequence[str]) -> str | None:
         same = "".join(ws)
@@ -232,6 +260,9 @@ class Keys:
         return out
 
 
+KEYS = ("act_same", "act_words", "act_lead", "act_fixed", "act_initials", "album_same", "album_core", "album_fixed", "album_cut")
+
+
 def match_records(
     rows: DataFrame,
     records: DataFrame,
@@ -242,52 +273,80 @@ def match_records(
     record_key: str,
     record_act: str,
     record_album: str,
+    labels: DataFrame | None = None,
     labelled: dict[str, tuple[int, int]] | None = None,
     max_records: int = 200_000,
 ) -> DataFrame:
     """Rows whose act and album are a listed record: ``record_key``, ``key``, ``rule``, ``confidence``.
 
-    The list is the bounded side (more than ``max_records`` raise) and is broadcast. Distinct pairs of names
-    get keys from exact to repaired; the rules then join them to the list one after the other, each only what the
-    rules before it left open. A rule's confidence is its smoothed precision over ``labelled`` pairs, (right, wrong).
+    Distinct pairs of names get keys from exact to repaired, as the list writes them. The rules are joins on one key of the act and one
+    of the record, in turn; each takes what anti-joins with all rules before it leave open.
+    The keys of repaired names need the acts of the list at hand: those go to the workers in blocks of about
+    ``max_records``, by act, so that a worker holds one block whatever the length of the list.
+
+    A rule's confidence is its smoothed precision over labels and never rises as rules weaken (:func:`confidences`). ``labels`` are rows of
+    ``act``, ``album`` and ``record_key`` (null for no record), which run through the same rules; without them ``labelled``
+    gives (right, wrong) of each rule, by default :data:`LABELLED`.
 
     Editions of a record match it; other recordings, follow-ups and collections have words of their own and don't,
     nor do records of the same title by another act. Defined results: rows without act or album, or with blank
     ones, match nothing; repeated rows match alike; of several records with the same names the lowest key
     counts; names of any length are taken whole; empty tables give no rows; other columns are ignored.
     """
-    listed = [tuple(r) for r in records.select(record_key, record_act, record_album).where(F.col(record_act).isNotNull() & F.col(record_album).isNotNull()).limit(max_records + 1).collect()]
-    if len(listed) > max_records:
-        raise ValueError(f"more than {max_records} records")
-    spark = rows.sparkSession
     kind = records.schema[record_key].dataType.simpleString()
-    first: dict[tuple[str, str], object] = {}
-    for no, a, b in sorted(listed, key=lambda r: r[0]):
-        first.setdefault((act_key(a), album_key(b)), no)
-    target = spark.createDataFrame([(a, b, no) for (a, b), no in first.items()], f"ra string, rb string, found {kind}")
+    listed = cut(_listed(records.select(F.col(record_key).alias("no"), F.col(record_act).alias("a"), F.col(record_album).alias("b")).where("a is not null and b is not null"), kind))
+    blocks = max(1, -(-listed.count() // max_records))
+    target = listed.groupBy("ra", "rb").agg(F.min("no").alias("found"))
 
     named = rows.select(F.col(key).alias("k"), F.col(act).alias("a"), F.col(album).alias("b")).where(F.col("a").rlike(r"\S") & F.col("b").rlike(r"\S"))
-    pairs = named.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-    names = ("act_same", "act_words", "act_lead", "act_fixed", "album_same", "album_core", "album_fixed", "album_cut")
+    matched = _cascade(named.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), listed, target, blocks)
+    given = LABELLED if labelled is None else labelled
+    if labels is not None:
+        told = labels.select(F.col(act).alias("a"), F.col(album).alias("b"), F.col(record_key).alias("truth")).where(F.col("a").rlike(r"\S") & F.col("b").rlike(r"\S")).distinct()
+        judged = told.join(_cascade(told.select("a", "b").distinct(), listed, target, blocks), ["a", "b"]).withColumn("right", F.coalesce(F.col("won") == F.col("truth"), F.lit(False)).cast("int"))
+        given = {RULES[r["rule_no"]][0]: (r["r"], r["n"] - r["r"]) for r in judged.groupBy("rule_no").agg(F.sum("right").alias("r"), F.count(F.lit(1)).alias("n")).collect()}
+    sure = confidences(given)
+    rule = F.element_at(F.array(*[F.lit(n) for n, _, _ in RULES]), F.col("rule_no") + 1)
+    trust = F.element_at(F.array(*[F.lit(sure[n]) for n, _, _ in RULES]), F.col("rule_no") + 1)
+    return named.join(matched, ["a", "b"]).select(F.col("won").alias(record_key), F.col("k").alias(key), rule.alias("rule"), trust.alias("confidence"))
+
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Keys(listed)
+def _listed(records: DataFrame, kind: str) -> DataFrame:
+    """The list with the keys its records are met by."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"no": b["no"], "a": b["a"], "b": b["b"], "ra": [act_key(x) for x in b["a"]], "rb": [album_key(x) for x in b["b"]]})
+
+    return records.mapInPandas(run, f"no {kind}, a string, b string, ra string, rb string")
+
+
+def _cascade(pairs: DataFrame, listed: DataFrame, target: DataFrame, blocks: int) -> DataFrame:
+    """Pairs of names that a rule matches, with the record ``won`` and the rule's number; of several records of one rule the lowest."""
+    keyed = None
+    for n in range(blocks):
+        block = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("ra"), F.lit(blocks)) == n).select("no", "a", "b").orderBy("no").toLocalIterator()]
+        one = pairs.mapInPandas(_keyer(pairs.sparkSession.sparkContext.broadcast(block)), "a string, b string, " + ", ".join(f"{k} string" for k in KEYS))
+        keyed = one if keyed is None else keyed.unionByName(one)
+    still, won = cut(keyed), None
+    for i, (_, left, right) in enumerate(RULES):
+        on = (F.col(left) == F.col("ra")) & (F.col(right) == F.col("rb"))
+        hit = still.join(target, on).select("a", "b", F.col("found").alias("won"), F.lit(i).alias("rule_no"))
+        won = hit if won is None else won.unionByName(hit)
+        still = still.join(target, on, "left_anti")
+    best = F.min(F.struct("rule_no", "won"))
+    return won.groupBy("a", "b").agg(best.alias("x")).select("a", "b", "x.won", "x.rule_no")
+
+
+def _keyer(block):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Keys(block.value)
         for batch in batches:
             out = []
             for a, b in zip(batch["a"], batch["b"], strict=True):
                 act_keys = own.act(a)
-                if act_keys[3] is not None:
-                    out.append((a, b, *act_keys, *own.album(act_keys[3], b, a)))
-            yield pd.DataFrame(out, columns=["a", "b", *names])
+                if act_keys[4] is not None:
+                    out.append((a, b, *act_keys, *own.album(act_keys[4], b, a)))
+            yield pd.DataFrame(out, columns=["a", "b", *KEYS])
 
-    open_pairs = pairs.mapInPandas(keyed, "a string, b string, " + ", ".join(f"{n} string" for n in names))
-    state = open_pairs.select("*", F.lit(None).cast(kind).alias("won"), F.lit(None).cast("int").alias("rule_no"))
-    for i, (_, left, right) in enumerate(RULES):
-        on = (F.col(left) == F.col("ra")) & (F.col(right) == F.col("rb")) & F.col("won").isNull()
-        hit = state.join(F.broadcast(target), on, "left")
-        state = hit.select("a", "b", *names, F.coalesce("won", "found").alias("won"), F.coalesce("rule_no", F.when(F.col("found").isNotNull(), i)).alias("rule_no"))
-    matched = state.where("won is not null").select("a", "b", "won", "rule_no")
-    labels = LABELLED if labelled is None else labelled
-    rule = F.element_at(F.array(*[F.lit(n) for n, _, _ in RULES]), F.col("rule_no") + 1)
-    sure = F.element_at(F.array(*[F.lit(confidence(*labels.get(n, (0, 0)))) for n, _, _ in RULES]), F.col("rule_no") + 1)
-    return named.join(matched, ["a", "b"]).select(F.col("won").alias(record_key), F.col("k").alias(key), rule.alias("rule"), sure.alias("confidence"))
+    return run

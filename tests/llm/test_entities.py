@@ -1,8 +1,8 @@
 import pytest
 
-from hearken.llm.entities import Keys, confidence, match_records, near
+from hearken.llm.entities import RULES, Keys, confidence, confidences, match_records, near
 
-RECORDS = [(1, "The Marble Gulls", "Slow Harbour No. 3", "x"), (2, "The Marble Gulls", "Night Timber: Walking Home", "x"), (3, "Anna & the Reeds", "A Stone and a River", "x"), (4, "Lone Kiln", "Lone Kiln", "x")]
+RECORDS = [(1, "The Marble Gulls", "Slow Harbour No. 3", "x"), (2, "The Marble Gulls", "Night Timber: Walking Home", "x"), (3, "Anna & the Reeds", "A Stone and a River", "x"), (4, "Lone Kiln", "Lone Kiln", "x"), (5, "Jo Kar Ferrow", "Eleven Windmills", "x")]
 HITS = [
     (1, "the marble gulls", "SLOW HARBOUR NO 3"),
     (1, "Marble Gulls, The", "Slow Harbour Number Three (Deluxe Edition)"),
@@ -12,6 +12,9 @@ HITS = [
     (2, "The Marbel Gulls", "Nihgt Timbr: Walking Home"),
     (3, "Anna and the Reeds & Co Person", "A Stone & a River (Explicit) (Mono)"),
     (4, "LONE KILN", "Lone Kiln - 20th Anniversary Edition"),
+    (5, "Jo Kar Ferrow", "Eleen Winmills"),
+    (5, "Jo Kar Ferrow", "eleven windmills"),
+    (5, "J.K. Ferrow", "Eleven Windmills (Mono)"),
 ]
 MISSES = [
     ("The Marble Gulls", "Slow Harbour No. 4"),
@@ -49,11 +52,23 @@ def test_cases(frames):
 def test_empty_tables_and_bounds(frames):
     rows, records = frames
     assert match(rows.limit(0), records).count() == 0 and match(rows, records.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        match(rows, records, max_records=2)
+    in_blocks = {(r.row_no, r.no) for r in match(rows, records, max_records=2).collect()}
+    assert in_blocks == {(r.row_no, r.no) for r in match(rows, records).collect()}
+
+
+def test_labels_decide(frames, spark):
+    rows, records = frames
+    labels = spark.createDataFrame([("The Marble Gulls", "Slow Harbour No. 3", 1), ("the marble gulls", "slow harbour no 3", 1), ("The Marbel Gulls", "Nihgt Timbr: Walking Home", None), ("Lone Kiln", "Lone Kiln Deluxe", 4), ("Ox", "B", None)], "act string, record string, no int")
+    got = {r.rule: r.confidence for r in match(rows, records, labels=labels).collect()}
+    assert got["same names"] == 0.75 and got["slips in both"] < 0.5
+    order = [n for n, _, _ in RULES if n in got]
+    assert all(got[a] >= got[b] for a, b in zip(order, order[1:], strict=False))
 
 
 def test_parts():
     assert confidence(0, 0) == 0.5 and confidence(8, 0) == 0.9
+    names = [n for n, _, _ in RULES]
+    pooled = confidences({names[0]: (2, 0), names[1]: (20, 0), names[2]: (3, 3)})
+    assert pooled[names[0]] == pooled[names[1]] > pooled[names[2]] >= pooled[names[3]] and list(pooled) == names
     assert near("timbr", "timber") and not near("kilns", "kiln") and not near("no4", "no3")
     assert Keys([(1, "The Ox", "B")]).act("ox, the")[1] == "theox"
