@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,16 +25,48 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """A folder all executors share: ``spark.checkpoint.dir``. Only a session within one process may go without: it gets one of its own.
+
+    A session of several processes without that setting raises, since a local folder isn't shared between nodes.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"file://{tempfile.gettempdir()}/hearken-shared"
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/hearken-{spark.sparkContext.applicationId}"
+
+
+#: Folders written by :func:`cut`, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: its lineage ends in files that outlive any executor."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it again: its lineage ends in files that outlive any executor.
+
+    The files stay until :func:`release` or the end of the process, as results that read them are lazy.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_all)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what :func:`cut` wrote for this application; results that still read it are lost."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
 
 
 def spread(df: DataFrame, *, waves: int = 3) -> DataFrame:
