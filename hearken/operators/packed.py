@@ -112,7 +112,7 @@ def places(marks: list[str], longest: int) -> list[tuple[int, int]]:
             found |= {(start, b): None for b in range(start + 1, stop + 1)} | {(a, stop): None for a in range(start, stop)}
             start = stop
         found[0, n] = None
-    return list(found)
+    return sorted(found)
 
 
 def spans(pieces: list[str], marks: list[str], longest: int) -> Iterator[tuple[int, int, str]]:
@@ -122,27 +122,41 @@ def spans(pieces: list[str], marks: list[str], longest: int) -> Iterator[tuple[i
 
 
 def expected(k: int, edges: list[tuple[int, int, float]]) -> list[float]:
-    """Posterior probability of each edge (a, b, log weight) of a lattice over ``k`` pieces, by forward-backward."""
+    """Posterior probability of each edge (a, b, log weight) of a lattice over ``k`` pieces, by forward-backward; edges come in order of a."""
+    if k == 1:
+        return [1.0]
+    fwd, bwd, weights = [1.0] + [0.0] * k, [0.0] * k + [1.0], [math.exp(w) for _, _, w in edges]
+    for (a, b, _), w in zip(edges, weights, strict=True):
+        fwd[b] += fwd[a] * w
+    if fwd[k] < 1e-250:  # too small for plain numbers
+        return _expected_logs(k, edges)
+    for (a, b, _), w in zip(reversed(edges), reversed(weights), strict=True):
+        bwd[a] += bwd[b] * w
+    return [fwd[a] * w * bwd[b] / fwd[k] for (a, b, _), w in zip(edges, weights, strict=True)]
+
+
+def _expected_logs(k: int, edges: list[tuple[int, int, float]]) -> list[float]:
     fwd, bwd = [-math.inf] * (k + 1), [-math.inf] * (k + 1)
     fwd[0] = bwd[k] = 0.0
     add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf and y > -math.inf else max(x, y)
-    for a, b, w in sorted(edges, key=lambda e: e[1]):
+    for a, b, w in edges:
         fwd[b] = add(fwd[b], fwd[a] + w)
-    for a, b, w in sorted(edges, key=lambda e: -e[0]):
+    for a, b, w in reversed(edges):
         bwd[a] = add(bwd[a], bwd[b] + w)
     return [math.exp(fwd[a] + w + bwd[b] - fwd[k]) for a, b, w in edges]
 
 
 def viterbi(k: int, edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
-    """Likeliest path of a lattice; among equals the one with the later, shorter last values."""
-    best: list[tuple[float, int]] = [(0.0, -1)] + [(-math.inf, -1)] * k
-    for a, b, w in sorted(edges, key=lambda e: (e[1], e[0])):
-        if best[a][0] + w >= best[b][0]:
-            best[b] = (best[a][0] + w, a)
+    """Likeliest path of a lattice whose edges come in order of their start; among equals the one with the later, shorter last values."""
+    best = [0.0] + [-math.inf] * k
+    came = [-1] * (k + 1)
+    for a, b, w in edges:
+        if best[a] + w >= best[b]:
+            best[b], came[b] = best[a] + w, a
     path, b = [], k
     while b > 0:
-        path.append((best[b][1], b))
-        b = best[b][1]
+        path.append((came[b], b))
+        b = came[b]
     return path[::-1]
 
 
@@ -200,12 +214,12 @@ def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: i
     alone = total = float(lattices.where(F.size("ms") == 0).count() + parsed.where("title <> ''").count())
     for r in range(rounds + 1):
         own = F.when(F.col("i") >= 0, F.col("p")).otherwise(0.0)
-        known = mine.join(counts, "h", "left").select("id", F.struct("i", "h", (F.coalesce("n", F.lit(0.0)) - own).alias("n"), F.coalesce("other", F.lit(0.0)).alias("other")).alias("e"))
-        read = open_ones.select("id", "part").join(known.groupBy("id").agg(F.collect_list("e").alias("es")), "id")
+        known = mine.join(counts, "h", "left").select("id", "i", "h", (F.coalesce("n", F.lit(0.0)) - own).alias("n"), F.coalesce("other", F.lit(0.0)).alias("other"))
+        read = open_ones.select("id", "part").join(known.groupBy("id").agg(*[F.collect_list(c).alias(c) for c in ("i", "h", "n", "other")]), "id")
         if r == rounds:
             decoded = read.mapInPandas(_decoder(longest, total), "part string, items array<string>")
             break
-        told = cut(read.select("id", "part", "es").mapInPandas(_expecter(longest, total), "id bigint, i int, h bigint, p double, other double"))
+        told = cut(read.mapInPandas(_expecter(longest, total), "id bigint, i int, h bigint, p double, other double"))
         total = alone + float(told.where("h is null").agg(F.sum("p")).first()[0] or 0.0)
         fresh = told.where("h is not null").groupBy("h").agg(F.sum("p").alias("n"), F.sum("other").alias("other"))
         counts = cut(fresh.join(seeds.select("h", F.col("n").alias("seed")), "h", "full").select("h", (F.coalesce("n", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0))).alias("n"), F.coalesce("other", F.lit(0.0)).alias("other")))
@@ -216,34 +230,35 @@ def split_packed(rows: DataFrame, *, key: str, fields: dict[str, str], rounds: i
     return long.join(whole.select("t", with_title.alias("items")), "t").select(F.col("k").alias(key), F.col("f").alias("field_name"), F.posexplode("items").alias("pos", "item_value")).select(key, "field_name", (F.col("pos") + 1).alias("pos"), "item_value")
 
 
-def _edges(part: str, es: list, longest: int, total: float) -> tuple[list[str], list[str], list[tuple[int, int, float]], list[str]]:
-    """Pieces, marks, weighted edges and kinds of marks of a packed part, given what is known of its spans and marks."""
+def _edges(part: str, at: list[int], ns: list[float], others: list[float], longest: int, total: float) -> tuple[list[str], list[str], list[tuple[int, int, float]], list[str]]:
+    """Pieces, marks, weighted edges and kinds of marks of a packed part, given what is known of its spans and marks, by their places."""
     pieces, marks, _ = parse(part)
     kinds = sorted(set(marks))
-    seen = {e["i"]: e for e in es}
+    seen = dict(zip(at, ns, strict=True))
+    against = {i: x for i, x in zip(at, others, strict=True) if i < 0}
     chance = {}
     for j, m in enumerate(kinds):
         yes, no = PRIOR[kind_of(m)]
-        e = seen.get(-1 - j)
-        yes, no = (yes + max(0.0, e["n"]), no + max(0.0, e["other"])) if e else (yes, no)
+        yes, no = yes + max(0.0, seen.get(-1 - j, 0.0)), no + max(0.0, against.get(-1 - j, 0.0))
         chance[m] = min(1 - 1e-9, max(1e-9, yes / (yes + no)))
-    cut_at = [math.log(chance[m]) for m in marks]
-    held = [0.0]
+    held, words, cut_at = [0.0], [0], []
+    for p, m in zip(pieces, [*marks, " "], strict=True):
+        words.append(words[-1] + len(p.split()))
+        if m != " ":
+            cut_at.append(math.log(chance[m]))
+            held.append(held[-1] + math.log(1 - chance[m]))
+    alphas = [0]
     for m in marks:
-        held.append(held[-1] + math.log(1 - chance[m]))
-    words = [len(p.split()) for p in pieces]
-    upto = [0]
-    for w in words:
-        upto.append(upto[-1] + w)
+        alphas.append(alphas[-1] + m[0].isalpha())
+    cut_at.append(0.0)
+    known = (1 - UNSEEN) / max(total, 1.0)
     out = []
     for i, (a, b) in enumerate(places(marks, longest)):
-        n_words = upto[b] - upto[a] + sum(m[0].isalpha() for m in marks[a : b - 1])
-        e = seen.get(i)
+        n_words = words[b] - words[a] + alphas[b - 1] - alphas[a]
         # What a text itself added to a value doesn't count for it. A value met nowhere else has a base probability that falls with its words.
-        others = max(0.0, e["n"]) if e else 0.0
-        share = others * (1 - UNSEEN) / max(total, 1.0) + (UNSEEN * 10.0 ** -max(1, n_words) if n_words < 300 else 0.0)
+        share = max(0.0, seen.get(i, 0.0)) * known + (UNSEEN * 10.0 ** -max(1, n_words) if n_words < 300 else 0.0)
         weight = -1.0 if n_words == 0 else math.log(share) if share > 0 else math.log(UNSEEN) - n_words * math.log(10.0)
-        out.append((a, b, weight + held[b - 1] - held[a] + (cut_at[b - 1] if b <= len(marks) else 0.0)))
+        out.append((a, b, weight + held[b - 1] - held[a] + cut_at[b - 1]))
     return pieces, marks, out, kinds
 
 
@@ -252,23 +267,24 @@ def _expecter(longest: int, total: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for id_, part, es in zip(batch["id"], batch["part"], batch["es"], strict=True):
-                _, marks, edges, kinds = _edges(part, es, longest, total)
+            ids, at, hs, ps, others = [], [], [], [], []
+            for id_, part, i_s, h_s, ns, os in zip(batch["id"], batch["part"], batch["i"], batch["h"], batch["n"], batch["other"], strict=True):
+                i_s = i_s.tolist()
+                _, marks, edges, kinds = _edges(part, i_s, ns.tolist(), os.tolist(), longest, total)
                 probability = expected(len(marks) + 1, edges)
                 cuts = [0.0] * (len(marks) + 1)
                 for (_, b, _), p in zip(edges, probability, strict=True):
                     cuts[b - 1] += p
                 # A text counts once for a kind of mark however often it holds it.
-                often, parts, stays = Counter(marks), dict.fromkeys(kinds, 0.0), dict.fromkeys(kinds, 0.0)
+                often, parts = Counter(marks), dict.fromkeys(kinds, 0.0)
                 for m, p in zip(marks, cuts, strict=False):
-                    parts[m] += p / often[m]
-                    stays[m] += max(0.0, 1 - p) / often[m]
-                for e in es:
-                    i = e["i"]
-                    out.append((id_, i, e["h"], probability[i], 0.0) if i >= 0 else (id_, i, e["h"], parts[kinds[-1 - i]], stays[kinds[-1 - i]]))
-                out.append((id_, None, None, sum(probability), 0.0))
-            yield pd.DataFrame(out, columns=["id", "i", "h", "p", "other"]).astype({"i": "Int32", "h": "Int64"})
+                    parts[m] += min(1.0, p) / often[m]
+                ids += [id_] * (len(i_s) + 1)
+                at += [*i_s, None]
+                hs += [*h_s.tolist(), None]
+                ps += [*(probability[i] if i >= 0 else parts[kinds[-1 - i]] for i in i_s), sum(probability)]
+                others += [*(0.0 if i >= 0 else 1.0 - parts[kinds[-1 - i]] for i in i_s), 0.0]
+            yield pd.DataFrame({"id": ids, "i": pd.array(at, dtype="Int32"), "h": pd.array(hs, dtype="Int64"), "p": ps, "other": others})
 
     return run
 
@@ -277,10 +293,10 @@ def _decoder(longest: int, total: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             items = []
-            for part, es in zip(batch["part"], batch["es"], strict=True):
-                pieces, marks, edges, _ = _edges(part, es, longest, total)
+            for part, i_s, ns, os in zip(batch["part"], batch["i"], batch["n"], batch["other"], strict=True):
+                pieces, marks, edges, _ = _edges(part, i_s.tolist(), ns.tolist(), os.tolist(), longest, total)
                 path = viterbi(len(marks) + 1, edges)
-                items.append([clean("".join(p + (marks[j] if j < b - 1 else "") for j, p in enumerate(pieces[a:b], a))) for a, b in path])
+                items.append([clean(pieces[a] if b == a + 1 else "".join(p + (marks[j] if j < b - 1 else "") for j, p in enumerate(pieces[a:b], a))) for a, b in path])
             yield pd.DataFrame({"part": batch["part"], "items": items})
 
     return run
