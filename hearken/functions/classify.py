@@ -28,7 +28,9 @@ PLATFORM_RULES = [
     ("iphone", "mobile"),
     ("ipad", "mobile"),
 ]
+#: The same for user agents.
 DEVICE_RULES = [("ios/", "iOS"), ("iphone", "iOS"), ("ipad", "iOS"), ("macintosh", "Macintosh"), ("os x", "Macintosh"), ("mac os", "Macintosh"), ("windows", "Windows"), ("android", "Android")]
+#: Start reasons by intent, eras by year, seasons by month, the household's pattern.
 DELIBERATE = ("clickrow", "playbtn", "backbtn", "remote")
 PASSIVE = ("trackdone", "appload", "fwdbtn")
 ERAS = [("2015-2017", 2015, 2017), ("2018", 2018, 2018), ("2019-2020", 2019, 2020), ("2021-2022", 2021, 2022), ("2023-2024", 2023, 2024), ("2025-2026", 2025, 2026)]

@@ -9,18 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def event_types(events: DataFrame, type_cols: Sequence[str], *, max_types: int = 50_000) -> list[tuple]:
-    """The distinct types of an event table, in order (nulls first).
-
-    The list goes to the driver and is broadcast, so its length is checked: more than ``max_types`` raise.
-    """
-    distinct = events.select(*type_cols).distinct()
-    found = [tuple(r) for r in distinct.limit(max_types + 1).collect()]
-    if len(found) > max_types:
-        raise ValueError(f"more than {max_types} event types; name a coarser type")
-    return sorted(found, key=lambda t: [(x is not None, x if x is not None else "") for x in t])
-
-
 def long_features(events: DataFrame, *, entity: str, type_cols: Sequence[str], at: str, value: str, types: Sequence[tuple]) -> DataFrame:
     """Compact long table: a row for each entity and type that occurs.
 
@@ -43,25 +31,26 @@ def long_features(events: DataFrame, *, entity: str, type_cols: Sequence[str], a
 
 
 def sparse_features(events: DataFrame, *, entity: str, type_cols: Sequence[str], at: str, value: str, types: Sequence[tuple] | None = None) -> DataFrame:
-    """One row for each entity: totals over all types and ``features``, an array of structs in type order.
+    """One row for each entity: totals over all types and ``features``, an array of structs in type order (nulls first).
 
     Columns: entity, ``n_events``, ``last_us``, ``total``, ``features`` (array of the type columns, ``n``,
-    ``last_us``, ``total``). Holds only types that occur, so its size follows the events however long the type
-    list is; no array is longer than the list. Types that aren't listed appear under null names, last.
+    ``last_us``, ``total``). Holds only types that occur, so its size follows the events however many types there
+    are; the types are grouped by themselves and need no list. With an explicit list, types that aren't on it appear together under null names, last.
     """
-    spark = events.sparkSession
-    types = event_types(events, type_cols) if types is None else list(types)
-    long = long_features(events, entity=entity, type_cols=type_cols, at=at, value=value, types=types)
-    names = [f"__t{i}" for i in range(len(type_cols))]
-    place = F.when(F.col("type_id") < 0, len(types)).otherwise(F.col("type_id")).alias("o")
-    gathered = long.groupBy(entity).agg(
-        F.sum("n").alias("n_events"), F.max("last_us").alias("last_us"), F.sum("total").alias("total"), F.sort_array(F.collect_list(F.struct(place, "n", "last_us", "total"))).alias("f")
-    )
-    # The names come back in a pass without shuffle: the list is one literal array, as bounded as the list itself.
-    lookup = _listed(spark, events, type_cols, types, names).select(F.sort_array(F.collect_list(F.struct("type_id", *names))).alias("__list")).where("size(__list) > 0")
-    named = gathered.join(F.broadcast(lookup), F.lit(True), "left")
-    entry = lambda x: F.struct(*[F.get(F.col("__list"), x["o"])[n].alias(c) for n, c in zip(names, type_cols, strict=True)], x["n"].alias("n"), x["last_us"].alias("last_us"), x["total"].alias("total"))
-    return named.select(entity, "n_events", "last_us", "total", F.transform("f", entry).alias("features"))
+    narrow = events.where(F.col(entity).isNotNull())
+    if types is not None:
+        names = [f"__t{i}" for i in range(len(type_cols))]
+        listed = _listed(events.sparkSession, events, type_cols, types, names)
+        on = None
+        for c, n in zip(type_cols, names, strict=True):
+            on = F.col(c).eqNullSafe(F.col(n)) if on is None else on & F.col(c).eqNullSafe(F.col(n))
+        narrow = narrow.join(F.broadcast(listed), on, "left").select(entity, at, value, *[F.col(n).alias(c) for c, n in zip(type_cols, names, strict=True)], F.col("type_id").isNull().alias("__rest"))
+    else:
+        narrow = narrow.select(entity, at, value, *type_cols, F.lit(False).alias("__rest"))
+    long = narrow.groupBy(entity, "__rest", *type_cols).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last_us"), F.sum(F.coalesce(F.col(value).cast("bigint"), F.lit(0))).alias("total"))
+    entry = F.struct("__rest", *type_cols, "n", "last_us", "total")
+    gathered = long.groupBy(entity).agg(F.sum("n").alias("n_events"), F.max("last_us").alias("last_us"), F.sum("total").alias("total"), F.sort_array(F.collect_list(entry)).alias("f"))
+    return gathered.select(entity, "n_events", "last_us", "total", F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in (*type_cols, "n", "last_us", "total")])).alias("features"))
 
 
 def wide_features(events: DataFrame, *, entity: str, type_cols: Sequence[str], at: str, value: str, types: Sequence[tuple], as_of_us: int | None = None) -> DataFrame:

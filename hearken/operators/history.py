@@ -49,13 +49,18 @@ def events(listens: DataFrame, *, household: Sequence[str] = (), zone: str = ZON
     )
 
 
+def case_key(name: Column) -> Column:
+    """Full case folding in built-ins: upper case spells out what lower case has no single letter for (ß, ligatures); the dotless i stays apart."""
+    return F.lower(F.upper(F.lower(F.translate(name, "ı", "\ue000"))))
+
+
 def elected_names(raw: DataFrame) -> DataFrame:
     """Writings of acts that differ in case only, with the one elected: most plays, then heard on the first service, then by name.
 
     Columns: ``artist``, ``canonical``, ``plays`` of the writing; only groups of several writings.
     """
     counts = raw.groupBy("artist").agg(F.count_if(is_play(F.col("ms"))).alias("plays"), F.max((F.col("service") == "spotify").cast("int")).alias("first_service"))
-    fold = F.lower("artist").alias("fold")
+    fold = case_key(F.col("artist")).alias("fold")
     group = Window.partitionBy("fold")
     ranked = counts.select("*", fold).select("*", F.row_number().over(group.orderBy(F.desc("plays"), F.desc("first_service"), "artist")).alias("rank"), F.count(F.lit(1)).over(group).alias("writings"))
     elected = ranked.withColumn("canonical", F.max(F.when(F.col("rank") == 1, F.col("artist"))).over(group))
@@ -82,6 +87,12 @@ def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def most_played(df: DataFrame, *, least: int, n: int) -> DataFrame:
+    """Rows with at least ``least`` plays, the ``n`` most played of them; ties go to what was heard first, then to the name."""
+    names = [c for c in ("artist", "album", "title") if c in df.columns]
+    return top(df.where(F.col("plays") >= least), n, F.desc("plays"), "first_us", *names)
+
+
 def _share(part: Column, rest: Column, digits: int) -> Column:
     """part / (part + rest), 0 when both are 0."""
     return F.when(part + rest > 0, F.round(part / (part + rest), digits)).otherwise(F.lit(0.0))
@@ -176,9 +187,10 @@ def anthems(e: DataFrame) -> DataFrame:
 
 def clock(e: DataFrame) -> DataFrame:
     """Plays by weekday and hour, over all (era null) and by era of the local year."""
-    p = own_plays(e).select(era(F.col("local_year")).alias("era"), "weekday", "hour")
-    whole = p.groupBy("weekday", "hour").agg(F.count(F.lit(1)).alias("n")).select(F.lit("overall").alias("era"), "weekday", "hour", "n")
-    return whole.unionByName(p.where("era is not null").groupBy("era", "weekday", "hour").agg(F.count(F.lit(1)).alias("n")))
+    cells = own_plays(e).groupBy(era(F.col("local_year")).alias("era"), "weekday", "hour").agg(F.count(F.lit(1)).alias("n"))
+    # a cell counts for its era and for all; the cells are few, the events are read once
+    both = cells.select(F.explode(F.array_compact(F.array(F.lit("overall"), F.col("era")))).alias("era"), "weekday", "hour", "n")
+    return both.groupBy("era", "weekday", "hour").agg(F.sum("n").alias("n"))
 
 
 def clock_grid(cells: DataFrame) -> DataFrame:
@@ -335,14 +347,15 @@ def lifelines(e: DataFrame, n: int = 100) -> DataFrame:
 
 
 def track_seasons(e: DataFrame, *, n: int = 100, least: int = 12, share: float = 0.7) -> DataFrame:
-    """Tracks among the most played that belong to a month, or else a season, with at least ``share`` of their plays."""
+    """Tracks among the most played that belong to a month, or else a season, with at least ``share`` of their plays; the most concentrated first."""
     ranked = top(track_totals(e).where("not household"), n, F.desc("plays"), "first_us", "artist", "title").where(F.col("plays") >= least).select("artist", "title", F.col("plays").alias("total"))
     monthly = own_plays(e).join(F.broadcast(ranked), ["artist", "title"]).groupBy("artist", "title", "total", "utc_month").agg(F.count(F.lit(1)).alias("n"))
     by_season = monthly.groupBy("artist", "title", "total", season(F.col("utc_month")).alias("label")).agg(F.sum("n").alias("n")).withColumn("kind", F.lit(1))
     by_month = monthly.select("artist", "title", "total", F.lower(F.date_format(F.make_date(F.lit(2000), "utc_month", F.lit(1)), "MMMM")).alias("label"), "n").withColumn("kind", F.lit(0))
     both = by_month.unionByName(by_season).where(F.col("n") / F.col("total") >= share)
     w = Window.partitionBy("artist", "title").orderBy("kind", F.desc("n"), "label")
-    return both.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("artist", "title", "label", F.round(F.col("n") / F.col("total"), 3).alias("concentration"))
+    found = both.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("artist", "title", "label", F.round(F.col("n") / F.col("total"), 3).alias("concentration"))
+    return found.orderBy(F.desc("concentration"), "artist", "title")
 
 
 def milestones(e: DataFrame, n: int = 20) -> DataFrame:

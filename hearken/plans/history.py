@@ -29,8 +29,8 @@ WITH raw AS (
 names AS (
   SELECT artist, count(*) FILTER (WHERE ms >= 30000) AS plays, max(CASE WHEN service = 'spotify' THEN 1 ELSE 0 END) AS fs FROM raw GROUP BY 1),
 elected AS (
-  SELECT artist, plays, first_value(artist) OVER (PARTITION BY lower(artist) ORDER BY plays DESC, fs DESC, artist) AS canonical,
-    count(*) OVER (PARTITION BY lower(artist)) AS writings FROM names),
+  SELECT artist, plays, first_value(artist) OVER (PARTITION BY replace(replace(lower(artist), 'ß', 'ss'), 'ς', 'σ') ORDER BY plays DESC, fs DESC, artist) AS canonical,
+    count(*) OVER (PARTITION BY replace(replace(lower(artist), 'ß', 'ss'), 'ς', 'σ')) AS writings FROM names),
 e0 AS (
   SELECT r.* EXCLUDE (artist), coalesce(c.canonical, r.artist) AS artist, make_timestamp(us) AS utc,
     (make_timestamp(us) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local

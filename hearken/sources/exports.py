@@ -30,8 +30,16 @@ LEDGER = schema("ts string, artist string, title string, uri string, recipe stri
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Rows with their place: file after file by name, rows in file order."""
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """Rows with their place: file after file by name, rows in file order.
+
+    Files are read in any order and large ones in parts, so the reader's own running number only orders rows within a file;
+    the number of rows in the files before is added to it. Files are few, so one task may add them up.
+    """
+    rows = df.withColumns({"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__n": F.monotonically_increasing_id()})
+    parts = rows.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("rows"), F.min("__n").alias("first"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("__file", "__start", (before - F.col("first")).alias("__shift"))
+    return rows.join(F.broadcast(starts), ["__file", "__start"]).withColumn("ord", F.col("__n") + F.col("__shift")).drop("__file", "__start", "__n", "__shift")
 
 
 def _exists(path: str) -> bool:
@@ -48,8 +56,8 @@ def listens(spark: SparkSession, folder: str) -> DataFrame:
     if not _exists(pattern):
         return empty(spark, T.StructType([*LISTENS, *schema("file string, ord bigint")]))
     raw = spark.read.schema(LISTENS).option("multiLine", True).json(pattern)
-    rows = raw.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).where("spotify_track_uri <> '' and master_metadata_album_artist_name <> ''")
-    return _numbered(rows.withColumn("service", F.lit("spotify")))
+    rows = _numbered(raw.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)))
+    return rows.where("spotify_track_uri <> '' and master_metadata_album_artist_name <> ''").withColumn("service", F.lit("spotify"))
 
 
 def table_file(spark: SparkSession, path: str) -> DataFrame:

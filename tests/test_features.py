@@ -2,9 +2,7 @@ import random
 from collections import defaultdict
 from datetime import date, timedelta
 
-import pytest
-
-from hearken.operators.features import event_types, label, rolling_totals, sparse_features, wide_features
+from hearken.operators.features import label, rolling_totals, sparse_features, wide_features
 
 DAY = 86_400_000_000
 SCHEMA = "uri string, kind string, why string, us bigint, ms bigint, n int, total string"
@@ -61,15 +59,21 @@ def test_wide_query_keeps_every_listen(spark, tmp_path):
     assert (got["n_other"], got["n_mobile_blank"], got["last_other"]) == (2, 1, "2020-01-01T00:00:00Z")
 
 
-def test_type_list_is_bounded_and_empty_tables_work(spark):
-    df = spark.createDataFrame(events(), SCHEMA)
-    with pytest.raises(ValueError):
-        event_types(df, ["kind", "why"], max_types=2)
-    none = df.limit(0)
+def test_any_number_of_types_and_empty_tables(spark):
+    many = spark.range(60_000).selectExpr("'u' || (id % 3) uri", "cast(id as string) kind", "cast(null as string) why", "id us", "1L ms")
+    got = sparse_features(many, entity="uri", type_cols=["kind", "why"], at="us", value="ms").selectExpr("uri", "size(features) n", "n_events").collect()
+    assert {(r.uri, r.n, r.n_events) for r in got} == {(f"u{i}", 20_000, 20_000) for i in range(3)}
+    none = spark.createDataFrame([], SCHEMA)
     assert sparse_features(none, entity="uri", type_cols=["kind", "why"], at="us", value="ms").count() == 0
     assert rolling_totals(none, entity="uri", at="us", value="ms").count() == 0
 
 
+def test_explicit_list_puts_the_rest_last(spark):
+    rows = [("u", "a", "x", 1, 1, 0, ""), ("u", "b", "x", 2, 1, 0, ""), ("u", "c", "x", 3, 1, 0, ""), ("u", None, None, 4, 1, 0, "")]
+    (got,) = sparse_features(spark.createDataFrame(rows, SCHEMA), entity="uri", type_cols=["kind", "why"], at="us", value="ms", types=[("b", "x"), (None, None)]).collect()
+    assert [(f.kind, f.n, f.last_us) for f in got.features] == [(None, 1, 4), ("b", 1, 2), (None, 2, 3)]
+
+
 def test_rolling_equals_brute_force(spark):
     rows = events(3)
     got = rolling_totals(spark.createDataFrame(rows, SCHEMA), entity="uri", at="us", value="ms", periods=(3, 7))
