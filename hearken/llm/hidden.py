@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearken.session import cut
+
 #: Bases of the rolling polynomial hashes (arithmetic modulo 2^64), and the multiplier that mixes the hash of a word.
 SEQUENCE, WORD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 KEEP, JOIN, MARK, BLANK = 0, 1, 2, 3
@@ -147,9 +150,24 @@ def same_words(a: str, b: str, fine: bool) -> bool:
     return True
 
 
-def alike(a: str, fa: tuple, b: str, fb: tuple) -> bool:
-    """Whether names whose hashes collide are the same but for formatting, verified on the names themselves."""
-    return (fa[0] == fb[0] and same_letters(a, b)) or (fa[1] == fb[1] and same_words(a, b, True)) or (fa[2] == fb[2] and same_words(a, b, False))
+#: The three comparisons, by the hash that suggests them.
+SAME = {"s": same_letters, "f": lambda a, b: same_words(a, b, True), "c": lambda a, b: same_words(a, b, False)}
+
+
+def verified(names: Sequence[str], heads: Sequence[str | None], hashes: Sequence[int], which: str) -> list[int]:
+    """The hashes, but another one for each name that isn't the same as the head of its hash but for formatting.
+
+    The other hash is one of the letters (or the sorted words) themselves, so that names falsely met find each other.
+    """
+    out = []
+    for name, head, h in zip(names, heads, hashes, strict=True):
+        if head is not None and name != head and not SAME[which](name, head):
+            fold = table()
+            parts = [name] if which == "s" else _words(name, which == "f")
+            folded = sorted("".join(chr(int(x)) for ch in part for x in fold.pool[fold.start[ord(ch)] : fold.start[ord(ch)] + fold.size[ord(ch)]]) for part in parts)
+            h = int.from_bytes(hashlib.blake2b("\n".join(folded).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        out.append(h)
+    return out
 
 
 def _rest(df: DataFrame, but: Sequence[str]) -> tuple[Column, Column]:
@@ -166,8 +184,9 @@ def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str]
     at most in blanks, case, marks that are neither letters nor digits, Unicode form or the order of words.
 
     Only 128-bit hashes of the other columns are counted over all rows (combined before the shuffle); the names
-    of rows whose hash occurs again are then hashed, put together by hash, and colliding spellings verified by
-    comparison. A group of any number of copies is one row for each hash before it is gathered.
+    of rows whose hash occurs again are then hashed, and each distinct spelling is compared with the head of its hash. Spellings
+    with a hash in common, and what hangs together by them, are a class: the smallest key is handed on along each of the three hashes until
+    none changes. Everything is grouped and joined by hash, so a group of any number of copies or spellings is never one row.
 
     Defined results: rows without ``name`` or a value in ``required`` have no copies; nulls elsewhere equal nulls only; a name without
     any letter or digit equals such names only; names of any length are taken whole; an empty table gives no rows.
@@ -187,35 +206,34 @@ def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str]
             f = fingerprints(list(b["a"])).view(np.int64)
             yield pd.DataFrame({"h1": b["h1"], "h2": b["h2"], "k": b["k"], "a": b["a"], "s": f[:, 0], "f": f[:, 1], "c": f[:, 2]})
 
-    marked = twins.mapInPandas(stream, f"h1 bigint, h2 bigint, k {kind}, a string, s bigint, f bigint, c bigint")
-    spellings = marked.groupBy("h1", "h2", "s", "f", "c").agg(F.min("k").alias("k"), F.min("a").alias("a"))
-    gathered = spellings.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("k", "a", "s", "f", "c"))).alias("x"))
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for g1, g2, xs in zip(b["h1"], b["h2"], b["x"], strict=True):
-                heads = list(range(len(xs)))
-
-                def head(i: int, heads: list[int] = heads) -> int:
-                    while heads[i] != i:
-                        i = heads[i]
-                    return i
-
-                by: dict[tuple, int] = {}
-                for i, x in enumerate(xs):
-                    for col in "sfc":
-                        j = by.setdefault((col, x[col]), i)
-                        if j != i and head(i) != head(j) and alike(x["a"], (x["s"], x["f"], x["c"]), xs[j]["a"], (xs[j]["s"], xs[j]["f"], xs[j]["c"])):
-                            low, high = sorted((head(i), head(j)))
-                            heads[high] = low
-                out += [(g1, g2, x["s"], x["f"], x["c"], xs[head(i)]["k"]) for i, x in enumerate(xs)]
-            yield pd.DataFrame(out, columns=["h1", "h2", "s", "f", "c", "class_id"])
-
-    classes = gathered.mapInPandas(link, f"h1 bigint, h2 bigint, s bigint, f bigint, c bigint, class_id {kind}")
-    joined = marked.select("h1", "h2", "s", "f", "c", "k").join(classes, ["h1", "h2", "s", "f", "c"]).select(F.col("k").alias(key), "class_id")
+    marked = cut(twins.mapInPandas(stream, f"h1 bigint, h2 bigint, k {kind}, a string, s bigint, f bigint, c bigint"))
+    spelt = marked.groupBy("h1", "h2", "a", "s", "f", "c").agg(F.min("k").alias("class_id"))
+    for which in SAME:
+        spelt = _checked(spelt, which)
+    spelt = cut(spelt)
+    while True:
+        told = spelt.withColumn("before", F.col("class_id"))
+        for which in SAME:
+            least = told.groupBy("h1", "h2", which).agg(F.min("class_id").alias("least"))
+            told = told.join(least, ["h1", "h2", which]).withColumn("class_id", F.col("least")).drop("least")
+        told = cut(told.select("h1", "h2", "a", "s", "f", "c", "class_id", "before"))
+        spelt = told.drop("before")
+        if told.where(F.col("before") != F.col("class_id")).isEmpty():
+            break
+    joined = marked.select("h1", "h2", "a", "k").join(spelt.select("h1", "h2", "a", "class_id"), ["h1", "h2", "a"]).select(F.col("k").alias(key), "class_id")
     sizes = joined.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    return joined.join(sizes, "class_id", "left_semi").select(key, "class_id")
+    return cut(joined.join(sizes, "class_id", "left_semi").select(key, "class_id"))
+
+
+def _checked(spelt: DataFrame, which: str) -> DataFrame:
+    """Spellings with one hash verified: each compared with the first of those that share it."""
+    heads = spelt.groupBy("h1", "h2", which).agg(F.min_by("a", F.struct("class_id", "a")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+    def check(names: pd.Series, firsts: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(verified(list(names), list(firsts), list(hashes), which))
+
+    check.__annotations__ = {"names": pd.Series, "firsts": pd.Series, "hashes": pd.Series, "return": pd.Series}
+    return spelt.join(heads, ["h1", "h2", which], "left").withColumn(which, F.pandas_udf(check, "bigint")("a", "head", which)).drop("head")
 
 
 def copy_pairs(classes: DataFrame, *, key: str) -> DataFrame:

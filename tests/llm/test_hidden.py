@@ -2,7 +2,7 @@ import itertools
 import random
 import unicodedata
 
-from hearken.llm.hidden import collapsed, copy_classes, copy_pairs, fingerprints, same_letters, same_words
+from hearken.llm.hidden import collapsed, copy_classes, copy_pairs, fingerprints, same_letters, same_words, verified
 
 SCHEMA = "row_no bigint, act string, ts string, n int, received string, class_id string"
 
@@ -43,3 +43,17 @@ def test_parts():
     assert f[0, 1] == f[1, 1] and f[0, 0] != f[1, 0] and f[0, 0] == f[2, 0] and f[3, 0] == 0 and f[4, 1] != f[0, 1]
     assert same_letters("A b-C", "a B c") and not same_letters("abc", "abd") and not same_letters("ab", "abc")
     assert same_words("The Ox!", "ox the", True) and not same_words("a b b", "a a b", True)
+
+
+def test_false_hashes_are_parted():
+    got = verified(["Lone Kiln", "LONE KILN", "Ox Gulls", "gulls, ox", "ox gulls"], ["Lone Kiln"] * 5, [7] * 5, "f")
+    assert got[:2] == [7, 7] and got[2] != 7 and len(set(got[2:])) == 1
+    assert len({*verified(["Ox Gulls", "gulls, ox"], ["Lone Kiln"] * 2, [7] * 2, "s")}) == 2
+
+
+def test_chains_of_hashes(spark):
+    # the first and the last share no hash with each other: joined by letters, then by words
+    names = ["The OldKiln", "The Old Kiln", "old kiln the", "oldkiln the"]
+    df = spark.createDataFrame([(i, n, "t", 1, "", "") for i, n in enumerate(names)] + [(9, "Old Kilns The", "t", 1, "", "")], SCHEMA)
+    got = {r.row_no: r.class_id for r in copy_classes(df, key="row_no", name="act", ignore=["received"]).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0}
