@@ -25,11 +25,11 @@ def contains_either(a: Column, b: Column) -> Column:
 def canon_tiers(canon: DataFrame, acts: DataFrame, albums: DataFrame, known: DataFrame | None = None, *, lived_in: int = 15, near_miss: int = 4) -> DataFrame:
     """Tier of each listed record (``rank, artist, album``): lived_in, brushed, near_miss or unheard, with its plays.
 
-    An album counts if its act is the same and either core contains the other. The list is small; it is the
-    broadcast side of an equi-join on the act with the containment as residual condition.
+    An album counts if its act is the same and either core contains the other: an equi-join on the act with the containment as
+    residual condition, whose broadcast side, if any, the measured sizes decide.
     """
     listed = canon.select("*", artist_key_udf("artist").alias("akey"), album_core_udf("album").alias("core"))
-    small = F.broadcast(listed.select("rank", F.col("akey").alias("k"), F.col("core").alias("want")))
+    small = listed.select("rank", F.col("akey").alias("k"), F.col("core").alias("want"))
     heard = albums.join(small, (F.col("akey") == F.col("k")) & contains_either(F.col("core"), F.col("want"))).groupBy("rank").agg(F.sum("n").alias("album_plays"))
     out = listed.join(acts, "akey", "left").join(heard, "rank", "left")
     if known is None:

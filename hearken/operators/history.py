@@ -50,8 +50,11 @@ def events(listens: DataFrame, *, household: Sequence[str] = (), zone: str = ZON
 
 
 def case_key(name: Column) -> Column:
-    """Full case folding in built-ins: upper case spells out what lower case has no single letter for (ß, ligatures); the dotless i stays apart."""
-    return F.lower(F.upper(F.lower(F.translate(name, "ı", "\ue000"))))
+    """Full case folding in built-ins: upper case spells out what lower case has no single letter for (ß, ligatures); the dotless i stays apart.
+
+    The translations between also keep the optimizer from taking lower(upper(x)) for lower(x).
+    """
+    return F.lower(F.translate(F.upper(F.translate(F.lower(name), "ı", "\ue000")), "\ue000", "ı"))
 
 
 def elected_names(raw: DataFrame) -> DataFrame:

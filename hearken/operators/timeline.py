@@ -8,21 +8,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.functions.classify import estimated_hours, hours, id_of_uri, is_household
+from hearken.session import sized
 
 
 def tag_buckets(tags: DataFrame, buckets: DataFrame, *, both_ways: bool = True) -> DataFrame:
     """Bucket of each distinct tag: its exact key's, else that of the first key (``ord``) that it contains or that contains it.
 
-    ``buckets`` has ``ord, key, bucket`` and is a small ordered list; distinct tags meet it by broadcast.
+    ``buckets`` has ``ord, key, bucket``. A text contains another if that is one of its stretches of that length, so distinct tags and keys
+    meet by equi-joins on stretches of the lengths there are; nothing is compared pair by pair.
     """
     distinct = tags.select("tag").where("tag is not null").distinct().withColumn("t", F.lower(F.trim("tag"))).where("t <> ''")
-    part = F.col("t").contains(F.col("key"))
-    hit = (part | F.col("key").contains(F.col("t"))) if both_ways else part
-    pairs = distinct.join(F.broadcast(buckets.select("ord", F.lower("key").alias("key"), "bucket")), hit)
+    keys = buckets.select("ord", F.lower("key").alias("key"), "bucket").where("key <> ''")
+    pairs = _within(distinct, "t", keys, "key")
+    if both_ways:
+        pairs = pairs.unionByName(_within(keys, "key", distinct, "t"))
     w = F.min(F.struct((F.col("t") != F.col("key")).alias("exact"), "ord", "bucket"))["bucket"]
     return pairs.groupBy("tag").agg(w.alias("bucket"))
 
 
+def _within(wholes: DataFrame, whole: str, parts: DataFrame, part: str) -> DataFrame:
+    """Pairs of rows where the text ``whole`` contains the text ``part``."""
+    lengths = parts.select(F.length(part).alias("n")).distinct()
+    longest = wholes.agg(F.max(F.length(whole))).first()[0] or 0
+    # one row for each length there is, no more than the longest text has
+    found = [r["n"] for r in lengths.where(F.col("n") <= longest).collect()]
+    if not found:
+        return wholes.join(parts, F.col(whole) == F.col(part)).limit(0)
+
+    def stretches(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(whole) - n + 1), lambda i: F.substring(F.col(whole), i, F.lit(n)))
+        return F.when(F.length(whole) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    cut_up = wholes.withColumn("__part", F.explode(F.array_distinct(F.concat(*map(stretches, sorted(found))))))
+    return cut_up.join(parts, F.col("__part") == F.col(part)).drop("__part")
+
+
 def artist_buckets(artists: DataFrame, feed: DataFrame, tags: DataFrame, *, household: Sequence[str] = ()) -> DataFrame:
     """Bucket of each act: the household's own, else that of its first tag in feed order (``rank``) that has one, else other."""
     first = feed.join(tags, "tag").groupBy("artist").agg(F.min(F.struct("rank", "bucket"))["bucket"].alias("tagged"))
@@ -58,12 +78,13 @@ def enriched_albums(albums: DataFrame, tracks: DataFrame, album_meta: DataFrame,
     return full.withColumn("completion", F.when(F.col("total_tracks") > 0, F.round(F.coalesce("heard", F.lit(0)) / F.col("total_tracks"), 3))).drop("by_uri", "by_name")
 
 
-def deep_cuts(stories: DataFrame, tracks: DataFrame, artists: DataFrame, *, least: int = 15) -> DataFrame:
+def deep_cuts(stories: DataFrame, tracks: DataFrame, artists: DataFrame, *, least: int = 15, most: int = 10_000) -> DataFrame:
     """Each act's best track against the act's best known one; an act id counts for the first track that reaches it.
 
-    ``stories`` (``pos, artist, title, plays, uri``) is a short ranked list; the greedy order is one fold over its
-    candidates, which are bounded by it.
+    ``stories`` (``pos, artist, title, plays, uri``) is a ranked list of at most ``most`` rows (more raise), as the greedy order is one fold over its
+    candidates.
     """
+    stories = sized(stories, most)
     w = Window.partitionBy("artist").orderBy(F.desc("plays"), "pos")
     seat = Window.partitionBy("artist")
     best = stories.select("*", F.row_number().over(w).alias("n"), F.min("pos").over(seat).alias("seat")).where("n = 1").drop("n")

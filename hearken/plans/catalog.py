@@ -153,7 +153,7 @@ def _(spark, folder):
     listed = table(spark, folder, "paste300_albums").select(artist_key_udf("artist").alias("a")).distinct()
     feed = table(spark, folder, "lastfm").where("artist is not null").select("artist").distinct().select(artist_key_udf("artist").alias("b")).distinct()
     word = lambda c: F.get(F.split(F.col(c), " "), F.lit(0))
-    return feed.join(F.broadcast(listed), word("a") == word("b")).where(same_act(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    return feed.join(listed, word("a") == word("b")).where(same_act(F.col("a"), F.col("b"))).select("a", "b").distinct()
 
 
 @query("fuzzy_titles")

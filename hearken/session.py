@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings worth having on a cluster; all are runtime settings and none is needed for right results.
 RUNTIME = {
@@ -69,6 +70,16 @@ def _release_all() -> None:
         release(spark)
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """A table that an operator takes in one task, with a check that it has at most ``most`` rows: the query fails if it has more.
+
+    The check is a second, narrow pass over the table, which is as small as it should be.
+    """
+    rows = df.limit(most + 1).agg(F.count(F.lit(1)).alias("__rows"))
+    checked = rows.select(F.when(F.col("__rows") <= most, F.lit(1)).otherwise(F.raise_error(F.lit(f"more than {most} rows where one task takes them all")).cast("int")).alias("__ok"))
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(checked), F.col("__one") == F.col("__ok")).drop("__one", "__ok")
+
+
 def spread(df: DataFrame, *, waves: int = 3) -> DataFrame:
     """A scan spread over all cores before a costly map, where its files make fewer tasks than that.
 

@@ -9,11 +9,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearken.session import sized
 from hearken.sources.exports import dump_names
 
 
-def section(df: DataFrame, order: Sequence[Column | str] = ()) -> DataFrame:
-    """A table as one row with a JSON array of its rows, nulls kept, in an order."""
+def section(df: DataFrame, order: Sequence[Column | str] = (), *, most: int = 100_000) -> DataFrame:
+    """A table of at most ``most`` rows (more raise) as one row with a JSON array of its rows, nulls kept, in an order."""
+    df = sized(df, most)
     row = F.struct(*df.columns)
     key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]).alias("o") if order else F.lit(0).alias("o")
     listed = df.select(key, row.alias("r")).agg(F.sort_array(F.collect_list(F.struct("o", "r"))).alias("x"))

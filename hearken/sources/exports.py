@@ -39,7 +39,7 @@ def _numbered(df: DataFrame) -> DataFrame:
     parts = rows.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("rows"), F.min("__n").alias("first"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.select("__file", "__start", (before - F.col("first")).alias("__shift"))
-    return rows.join(F.broadcast(starts), ["__file", "__start"]).withColumn("ord", F.col("__n") + F.col("__shift")).drop("__file", "__start", "__n", "__shift")
+    return rows.join(starts, ["__file", "__start"]).withColumn("ord", F.col("__n") + F.col("__shift")).drop("__file", "__start", "__n", "__shift")
 
 
 def _exists(path: str) -> bool:

@@ -195,3 +195,14 @@ def test_sinks(spark, tmp_path):
     assert len(sinks.prune(str(tmp_path))) == 2 and X.newest(spark, str(tmp_path)).endswith("taste_20200106T000000Z.json") and X.newest(spark, str(tmp_path / "no")) is None
     ranked = spark.createDataFrame([("Ann", 3, 7_200_000)], "artist string, plays bigint, ms bigint")
     assert sinks.digest(ranked).first().line == "Ann (3 plays, 2.0 h)"
+
+
+def test_export_rows_are_numbered_by_file_name(spark, tmp_path):
+    row = lambda i, size: {"ts": f"t{i}", "ms_played": i, "master_metadata_track_name": "x" * size, "master_metadata_album_artist_name": "A", "spotify_track_uri": "u"}
+    at = 0
+    for name, n, size in (("2016_1", 3, 10), ("2015_0", 2, 50_000), ("2017_2", 4, 5), ("2018_3", 0, 0)):
+        (tmp_path / f"Streaming_History_Audio_{name}.json").write_text(json.dumps([row(at + i, size) for i in range(n)]), encoding="utf-8")
+        at += n
+    got = [r.ms_played for r in X.listens(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == [3, 4, 0, 1, 2, 5, 6, 7, 8]
+    assert sorted(r.ord for r in X.listens(spark, str(tmp_path)).select("ord").collect()) == list(range(9))

@@ -134,3 +134,10 @@ def test_classifiers(spark):
     assert one.select(K.is_non_music(F.lit("Chapter 4"), F.lit(None)), K.is_non_music(F.lit("Sea"), F.lit("Blue")), K.name_or_text(F.lit('{"name":"A"}')), K.name_or_text(F.lit("B")), K.joined_names(F.array(F.lit("a"), F.lit(" ")))).first()[:] == (True, False, "A", "B", "a")
     images = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(f"i{w}").alias("url")) for w in (64, 300, 340)])
     assert one.select(K.nearest_size(images, 320)["url"], K.estimated_hours(F.lit(2), F.lit(1_800_000))).first()[:] == ("i300", 1.0)
+
+
+def test_case_only_election_folds_fully(spark):
+    rows = [("Straße", 40_000, "spotify"), ("STRASSE", 40_000, "apple"), ("strasse", 1, "apple"), ("ΣΑΣ", 40_000, "apple"), ("σας", 40_000, "spotify"), ("Tık", 1, "spotify"), ("Tik", 1, "spotify")]
+    df = spark.createDataFrame(rows, "artist string, ms bigint, service string")
+    got = {r.artist: r.canonical for r in H.elected_names(df).collect()}
+    assert got == {"Straße": "Straße", "STRASSE": "Straße", "strasse": "Straße", "ΣΑΣ": "σας", "σας": "σας"}

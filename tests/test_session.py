@@ -30,3 +30,9 @@ def test_cluster_needs_a_shared_folder():
         session.shared_folder(Session())
     Session.sparkContext.master = "local[2]"
     assert session.shared_folder(Session()).startswith("file://")
+
+
+def test_sized(spark):
+    assert session.sized(spark.range(5), 5).count() == 5 and session.sized(spark.range(0), 5).count() == 0
+    with pytest.raises(Exception, match="more than 4 rows"):
+        session.sized(spark.range(5), 4).collect()
