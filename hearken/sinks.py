@@ -31,6 +31,22 @@ def write_document(path: str, sections: Mapping[str, DataFrame], *, compact: boo
     return len(text.encode())
 
 
+def write_proposals(path: str, proposals: DataFrame, *, now: str, min_ratio: float, tiers: Sequence[str] = ("high",), most: int = 100_000) -> int:
+    """Proposals (``tier, plays`` and more; at most ``most``) with the number of songs and plays in all and by tier, as one file to review; its size in bytes."""
+    by = proposals.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("plays"), F.lit(0)).alias("plays")).orderBy(F.desc("n"), "tier").collect()
+    doc = {
+        "generated_at": now,
+        "min_ratio": min_ratio,
+        "applied_tiers": list(tiers),
+        "stats": {"songs": sum(r["n"] for r in by), "plays": sum(r["plays"] for r in by), "by_tier": {r["tier"]: r["n"] for r in by}, "plays_by_tier": {r["tier"]: r["plays"] for r in by}},
+        "proposals": json.loads(section(proposals, [F.col("tier"), -F.col("plays"), F.col("title")], most=most).first()["json"]),
+    }
+    text = json.dumps(doc, ensure_ascii=False, indent=1)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return len(text.encode())
+
+
 def inject(page: str, data: str, marker: str) -> str:
     """A page with JSON in place of the first marker, closing tags in it escaped; a page without marker raises."""
     if marker not in page:
@@ -84,4 +100,4 @@ def digest(df: DataFrame, name: str = "artist", n: int = 30) -> DataFrame:
     return df.limit(n).select(F.format_string("%s (%d plays, %.1f h)", F.col(name), F.col("plays"), F.col("ms") / 3_600_000.0).alias("line"))
 
 
-__all__ = ["accepted", "append_ledger", "digest", "inject", "ledger_rows", "prune", "section", "unresolved_report", "write_document"]
+__all__ = ["accepted", "append_ledger", "digest", "inject", "ledger_rows", "prune", "section", "unresolved_report", "write_document", "write_proposals"]

@@ -194,6 +194,34 @@ def fill_cache(cache: DataFrame, wanted: DataFrame, fetch, *, key: str, batch: i
     return cache.unionByName(missing.mapInPandas(run, cache.schema))
 
 
+_TRACK = "struct<name:string,id:string,uri:string,popularity:int,duration_ms:bigint,artists:array<struct<name:string,id:string>>,album:struct<name:string,id:string,release_date:string>,genres:array<string>>"
+
+
+def _pulled(item: str, *more: str) -> list:
+    """Columns of an artist or track record as the account service writes it."""
+    x = F.col(item)
+    return [*[x[c].alias(c) for c in ("name", "id", "uri", "popularity", "duration_ms", "genres")], x["artists"]["name"].alias("artists"), x["album"]["name"].alias("album"), x["album"]["release_date"].alias("release_date"), *[F.col(c) for c in more]]
+
+
+def top_items(pages: DataFrame) -> DataFrame:
+    """Top acts or tracks of an account by time range, in order, from stored answers (``kind, range, json``)."""
+    items = pages.select("kind", "range", F.posexplode(F.from_json("json", f"items array<{_TRACK}>")["items"]).alias("pos", "x"))
+    return items.select("kind", "range", "pos", *_pulled("x"))
+
+
+def library_items(pages: DataFrame, *, stamp: str, cap: int) -> DataFrame:
+    """Saved (``stamp`` added_at, cap 500) or recent (played_at, cap 50) tracks of an account from stored answers (``page, json``), in order, the first ``cap``."""
+    layout = f"items array<struct<track:{_TRACK},{stamp}:string>>"
+    items = pages.select("page", F.posexplode(F.from_json("json", layout)["items"]).alias("pos", "x"))
+    return items.select("page", "pos", F.col("x.track").alias("t"), F.col(f"x.{stamp}").alias(stamp)).orderBy("page", "pos").limit(cap).select("page", "pos", *_pulled("t", stamp))
+
+
+def now_playing(answers: DataFrame) -> DataFrame:
+    """What an account plays, from stored answers (``json``); answers without a track give no row."""
+    x = answers.select(F.from_json("json", f"is_playing boolean, progress_ms bigint, item {_TRACK}").alias("a")).where("a.item.name is not null")
+    return x.select(F.col("a.item").alias("t"), F.coalesce("a.is_playing", F.lit(False)).alias("is_playing"), F.col("a.progress_ms").alias("progress_ms")).select("is_playing", "progress_ms", *_pulled("t"))
+
+
 def optional(spark: SparkSession, path: str, columns: str) -> tuple[DataFrame, bool]:
     """A parquet dimension and whether it is there; an absent one is an empty relation of the schema."""
     if _exists(path):

@@ -206,3 +206,23 @@ def test_export_rows_are_numbered_by_file_name(spark, tmp_path):
     got = [r.ms_played for r in X.listens(spark, str(tmp_path)).orderBy("ord").collect()]
     assert got == [3, 4, 0, 1, 2, 5, 6, 7, 8]
     assert sorted(r.ord for r in X.listens(spark, str(tmp_path)).select("ord").collect()) == list(range(9))
+
+
+def test_account_pulls(spark):
+    track = lambda n: {"name": n, "id": n, "artists": [{"name": "A", "id": "a"}], "album": {"name": "B", "release_date": "2001-02-03"}, "extra": [1]}
+    pages = spark.createDataFrame([("tracks", "short_term", json.dumps({"items": [track("x"), track("y")]})), ("artists", "long_term", json.dumps({"items": [{"name": "A", "genres": ["dub"]}]})), ("tracks", "long_term", "junk"), ("tracks", "medium_term", None)], "kind string, range string, json string")
+    got = {(r.kind, r.range, r.pos): r for r in X.top_items(pages).collect()}
+    assert set(got) == {("tracks", "short_term", 0), ("tracks", "short_term", 1), ("artists", "long_term", 0)}
+    assert got["tracks", "short_term", 1].artists == ["A"] and got["artists", "long_term", 0].genres == ["dub"] and got["tracks", "short_term", 0].release_date == "2001-02-03"
+    saved = spark.createDataFrame([(p, json.dumps({"items": [{"track": track(f"{p}{i}"), "added_at": "t"} for i in range(3)]})) for p in (1, 0)], "page int, json string")
+    assert [(r.name, r.added_at) for r in X.library_items(saved, stamp="added_at", cap=4).orderBy("page", "pos").collect()] == [("00", "t"), ("01", "t"), ("02", "t"), ("10", "t")]
+    answers = spark.createDataFrame([(json.dumps({"is_playing": True, "progress_ms": 5, "item": track("z")}),), ("{}",), (None,)], "json string")
+    assert [(r.name, r.is_playing, r.progress_ms) for r in X.now_playing(answers).collect()] == [("z", True, 5)]
+
+
+def test_proposal_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "high", 3, "A"), ("b", "review", None, None), ("c", "high", 9, "C")], "title string, tier string, plays bigint, artist string")
+    sinks.write_proposals(str(tmp_path / "p.json"), rows, now="2026-01-01T00:00:00Z", min_ratio=0.87)
+    doc = json.loads((tmp_path / "p.json").read_text(encoding="utf-8"))
+    assert doc["stats"] == {"songs": 3, "plays": 12, "by_tier": {"high": 2, "review": 1}, "plays_by_tier": {"high": 12, "review": 0}}
+    assert [p["title"] for p in doc["proposals"]] == ["c", "a", "b"] and doc["proposals"][2]["artist"] is None
