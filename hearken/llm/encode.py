@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hearken.session import spread
+
 #: Folder of the public vocabularies; a parameter everywhere.
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -150,7 +152,7 @@ def encoder(path: str) -> ByteBPE:
 def encode_texts(docs: DataFrame, *, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """``key`` and ``ids`` (array of int), the text's token ids without special tokens.
 
-    One map over the rows without a shuffle; the vocabulary is read from ``folder`` by each worker once. Defined
+    One map over the rows, without a shuffle but where the files make fewer tasks than there are cores; the vocabulary is read from ``folder`` by each worker once. Defined
     results: null and empty texts give an empty list; strings that look like special tokens are ordinary text;
     texts of any length are encoded whole; repeated keys give a row each; other columns are ignored.
     """
@@ -166,4 +168,4 @@ def encode_texts(docs: DataFrame, *, key: str, text: str, vocabulary: str = "byt
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
