@@ -207,22 +207,33 @@ def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str]
             yield pd.DataFrame({"h1": b["h1"], "h2": b["h2"], "k": b["k"], "a": b["a"], "s": f[:, 0], "f": f[:, 1], "c": f[:, 2]})
 
     marked = cut(twins.mapInPandas(stream, f"h1 bigint, h2 bigint, k {kind}, a string, s bigint, f bigint, c bigint"))
-    spelt = marked.groupBy("h1", "h2", "a", "s", "f", "c").agg(F.min("k").alias("class_id"))
-    for which in SAME:
-        spelt = _checked(spelt, which)
-    spelt = cut(spelt)
+    spelt = cut(_checked(marked.groupBy("h1", "h2", "a", "s", "f", "c").agg(F.min("k").alias("class_id")), "s"))
+    # Where all names are written with the same letters, that's the class; the others go by their words too.
+    several = spelt.groupBy("h1", "h2").agg((F.min("s") != F.max("s")).alias("several"))
+    plain = spelt.join(several.where("not several"), ["h1", "h2"], "left_semi")
+    least = plain.groupBy("h1", "h2").agg(F.min("class_id").alias("class_id"))
+    mixed = spelt.join(several.where("several"), ["h1", "h2"], "left_semi")
+    for which in ("f", "c"):
+        mixed = _checked(mixed, which)
+    mixed = cut(mixed)
+    linked = _linked(mixed.groupBy("h1", "h2", "s", "f", "c").agg(F.min("class_id").alias("class_id")))
+    spelt = plain.drop("class_id").join(least, ["h1", "h2"]).select("h1", "h2", "a", "class_id").unionByName(mixed.drop("class_id").join(linked, ["h1", "h2", "s", "f", "c"]).select("h1", "h2", "a", "class_id"))
+    joined = marked.select("h1", "h2", "a", "k").join(spelt, ["h1", "h2", "a"]).select(F.col("k").alias(key), "class_id")
+    sizes = joined.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
+    return cut(joined.join(sizes, "class_id", "left_semi").select(key, "class_id"))
+
+
+def _linked(nodes: DataFrame) -> DataFrame:
+    """Hashes of spellings with the smallest key of all that hang together by any of them."""
     while True:
-        told = spelt.withColumn("before", F.col("class_id"))
+        told = nodes.withColumn("before", F.col("class_id"))
         for which in SAME:
             least = told.groupBy("h1", "h2", which).agg(F.min("class_id").alias("least"))
             told = told.join(least, ["h1", "h2", which]).withColumn("class_id", F.col("least")).drop("least")
-        told = cut(told.select("h1", "h2", "a", "s", "f", "c", "class_id", "before"))
-        spelt = told.drop("before")
+        told = cut(told.select("h1", "h2", "s", "f", "c", "class_id", "before"))
+        nodes = told.drop("before")
         if told.where(F.col("before") != F.col("class_id")).isEmpty():
-            break
-    joined = marked.select("h1", "h2", "a", "k").join(spelt.select("h1", "h2", "a", "class_id"), ["h1", "h2", "a"]).select(F.col("k").alias(key), "class_id")
-    sizes = joined.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    return cut(joined.join(sizes, "class_id", "left_semi").select(key, "class_id"))
+            return nodes
 
 
 def _checked(spelt: DataFrame, which: str) -> DataFrame:
