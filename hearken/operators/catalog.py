@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.functions.classify import is_non_music
-from hearken.functions.names import SAME, album_core_udf, artist_key_udf, bracket_extension_udf, keyed, ratio_udf, same_act, track_core_udf, uninformative_hint
+from hearken.functions.names import SAME, act_heads, album_core_udf, artist_key_udf, bracket_extension_udf, keyed, ratio_udf, same_act, track_core_udf, uninformative_hint
 
 
 def play_maps(plays: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,9 +56,8 @@ def best_album(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     """Best candidate (``id, artist, name, pos``) for each wanted album (``artist, name``): same act, similarity from the threshold, first of equals."""
     w = keyed(wanted.select(F.col("artist").alias("wa"), F.col("name").alias("wn")).distinct(), wk=("wa", artist_key_udf), wc=("wn", album_core_udf))
     c = keyed(candidates.select("id", F.col("artist").alias("ca"), F.col("name").alias("cn"), "pos"), ck=("ca", artist_key_udf), cc=("cn", album_core_udf))
-    # the first word of the act is equal whenever the acts are
-    word = lambda k: F.get(F.split(F.col(k), " "), F.lit(0))
-    pairs = w.join(c, word("wk") == word("ck")).where(same_act(F.col("wk"), F.col("ck"))).withColumn("ratio", ratio_udf("wc", "cc")).where(F.col("ratio") >= SAME)
+    heads = w.select("*", F.explode(act_heads(F.col("wk"))).alias("head")).join(c.select("*", F.explode(act_heads(F.col("ck"))).alias("head")), "head")
+    pairs = heads.where(same_act(F.col("wk"), F.col("ck"))).drop("head").distinct().withColumn("ratio", ratio_udf("wc", "cc")).where(F.col("ratio") >= SAME)
     best = Window.partitionBy("wa", "wn").orderBy(F.desc("ratio"), "pos")
     return pairs.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("wa").alias("artist"), F.col("wn").alias("name"), "id", F.col("ca").alias("found_artist"), F.col("cn").alias("found_name"), F.round("ratio", 3).alias("ratio"))
 

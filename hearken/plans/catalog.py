@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearken.functions.classify import device_family, safe_int, split_pair, title_key
-from hearken.functions.names import CONNECTORS, album_core_udf, artist_key_udf, keyed, plain_key_udf, same_act, track_core_udf
+from hearken.functions.names import CONNECTORS, act_heads, album_core_udf, artist_key_udf, keyed, plain_key_udf, same_act, track_core_udf
 from hearken.operators import catalog as C
 from hearken.operators import companion as P
 from hearken.operators import history as H
@@ -152,8 +152,8 @@ SELECT DISTINCT a, b FROM l JOIN h ON a <> '' AND b <> '' AND (a = b
 def _(spark, folder):
     listed = table(spark, folder, "paste300_albums").select(artist_key_udf("artist").alias("a")).distinct()
     feed = table(spark, folder, "lastfm").where("artist is not null").select("artist").distinct().select(artist_key_udf("artist").alias("b")).distinct()
-    word = lambda c: F.get(F.split(F.col(c), " "), F.lit(0))
-    return feed.join(listed, word("a") == word("b")).where(same_act(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    heads = lambda df, c: df.select(c, F.explode(act_heads(F.col(c))).alias("head"))
+    return heads(feed, "b").join(heads(listed, "a"), "head").where(same_act(F.col("a"), F.col("b"))).select("a", "b").distinct()
 
 
 @query("fuzzy_titles")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -67,7 +68,8 @@ def release(spark: SparkSession) -> None:
 def _release_all() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
-        release(spark)
+        with contextlib.suppress(Exception):  # at exit the JVM may be gone before its files
+            release(spark)
 
 
 def sized(df: DataFrame, most: int) -> DataFrame:

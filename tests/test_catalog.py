@@ -226,3 +226,11 @@ def test_proposal_file(spark, tmp_path):
     doc = json.loads((tmp_path / "p.json").read_text(encoding="utf-8"))
     assert doc["stats"] == {"songs": 3, "plays": 12, "by_tier": {"high": 2, "review": 1}, "plays_by_tier": {"high": 12, "review": 0}}
     assert [p["title"] for p in doc["proposals"]] == ["c", "a", "b"] and doc["proposals"][2]["artist"] is None
+
+
+def test_same_acts_share_a_head(spark):
+    acts = ["anna reed", "anna reed and bo", "anna reed and bo with cy", "anna", "anna and bo", "anna reed bo", "ox x", "ox x presents dub", "", "and anna reed and"]
+    df = spark.createDataFrame([(a,) for a in acts], "k string")
+    pairs = df.select(F.col("k").alias("a")).crossJoin(df.select(F.col("k").alias("b"))).where(N.same_act(F.col("a"), F.col("b")))
+    missed = pairs.where(~F.arrays_overlap(N.act_heads(F.col("a")), N.act_heads(F.col("b"))))
+    assert pairs.count() > len(acts) and missed.collect() == []
