@@ -177,7 +177,7 @@ def _rest(df: DataFrame, but: Sequence[str]) -> tuple[Column, Column]:
     return F.xxhash64(flags, *cols), F.xxhash64(F.lit("second"), *reversed(cols), flags)
 
 
-def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str] = (), required: Sequence[str] = ()) -> DataFrame:
+def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str] = (), required: Sequence[str] = (), gather: int = 64) -> DataFrame:
     """Rows that have a copy: ``key`` and ``class_id``, the smallest key of the class.
 
     Copies agree exactly in every column but ``key``, ``name`` and those in ``ignore``, and their names differ
@@ -185,8 +185,9 @@ def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str]
 
     Only 128-bit hashes of the other columns are counted over all rows (combined before the shuffle); the names
     of rows whose hash occurs again are then hashed, and each distinct spelling is compared with the head of its hash. Spellings
-    with a hash in common, and what hangs together by them, are a class: the smallest key is handed on along each of the three hashes until
-    none changes. Everything is grouped and joined by hash, so a group of any number of copies or spellings is never one row.
+    with a hash in common, and what hangs together by them, are a class. Rows alike in all else that have at most ``gather`` spellings are put together at once; among more,
+    the smallest key is handed on along each of the three hashes, by joins, until none changes. So a group of any number of copies or spellings is never one row, and the
+    classes are the same either way.
 
     Defined results: rows without ``name`` or a value in ``required`` have no copies; nulls elsewhere equal nulls only; a name without
     any letter or digit equals such names only; names of any length are taken whole; an empty table gives no rows.
@@ -207,20 +208,43 @@ def copy_classes(rows: DataFrame, *, key: str, name: str, ignore: Sequence[str]
             yield pd.DataFrame({"h1": b["h1"], "h2": b["h2"], "k": b["k"], "a": b["a"], "s": f[:, 0], "f": f[:, 1], "c": f[:, 2]})
 
     marked = cut(twins.mapInPandas(stream, f"h1 bigint, h2 bigint, k {kind}, a string, s bigint, f bigint, c bigint"))
-    spelt = cut(_checked(marked.groupBy("h1", "h2", "a", "s", "f", "c").agg(F.min("k").alias("class_id")), "s"))
-    # Where all names are written with the same letters, that's the class; the others go by their words too.
-    several = spelt.groupBy("h1", "h2").agg((F.min("s") != F.max("s")).alias("several"))
-    plain = spelt.join(several.where("not several"), ["h1", "h2"], "left_semi")
-    least = plain.groupBy("h1", "h2").agg(F.min("class_id").alias("class_id"))
-    mixed = spelt.join(several.where("several"), ["h1", "h2"], "left_semi")
-    for which in ("f", "c"):
-        mixed = _checked(mixed, which)
-    mixed = cut(mixed)
-    linked = _linked(mixed.groupBy("h1", "h2", "s", "f", "c").agg(F.min("class_id").alias("class_id")))
-    spelt = plain.drop("class_id").join(least, ["h1", "h2"]).select("h1", "h2", "a", "class_id").unionByName(mixed.drop("class_id").join(linked, ["h1", "h2", "s", "f", "c"]).select("h1", "h2", "a", "class_id"))
-    joined = marked.select("h1", "h2", "a", "k").join(spelt, ["h1", "h2", "a"]).select(F.col("k").alias(key), "class_id")
+    spelt = marked.groupBy("h1", "h2", "a", "s", "f", "c").agg(F.min("k").alias("class_id"))
+    counted = spelt.join(spelt.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")), ["h1", "h2"])
+    few = counted.where(F.col("n") <= gather).groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("class_id", "a", "s", "f", "c"))).alias("x"))
+    classes = few.mapInPandas(_link, f"h1 bigint, h2 bigint, a string, class_id {kind}")
+    many = cut(counted.where(F.col("n") > gather).drop("n"))
+    if not many.isEmpty():
+        for which in SAME:
+            many = _checked(many, which)
+        many = cut(many)
+        linked = _linked(many.groupBy("h1", "h2", "s", "f", "c").agg(F.min("class_id").alias("class_id")))
+        classes = classes.unionByName(many.drop("class_id").join(linked, ["h1", "h2", "s", "f", "c"]).select("h1", "h2", "a", "class_id"))
+    joined = cut(marked.select("h1", "h2", "a", "k").join(classes, ["h1", "h2", "a"]).select(F.col("k").alias(key), "class_id"))
     sizes = joined.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    return cut(joined.join(sizes, "class_id", "left_semi").select(key, "class_id"))
+    return joined.join(sizes, "class_id", "left_semi").select(key, "class_id")
+
+
+def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Classes within gathered groups of spellings, which come in the order of their keys."""
+    for b in batches:
+        out = []
+        for h1, h2, xs in zip(b["h1"], b["h2"], b["x"], strict=True):
+            heads = list(range(len(xs)))
+
+            def head(i: int, heads: list[int] = heads) -> int:
+                while heads[i] != i:
+                    i = heads[i]
+                return i
+
+            for which in SAME:
+                first: dict[int, int] = {}
+                for i, x in enumerate(xs):
+                    at = first.setdefault(x[which], i)
+                    own = verified([x["a"]], [xs[at]["a"]], [x[which]], which)[0]
+                    low, high = sorted((head(i), head(first.setdefault(own, i))))
+                    heads[high] = low
+            out += [(h1, h2, x["a"], xs[head(i)]["class_id"]) for i, x in enumerate(xs)]
+        yield pd.DataFrame(out, columns=["h1", "h2", "a", "class_id"])
 
 
 def _linked(nodes: DataFrame) -> DataFrame:

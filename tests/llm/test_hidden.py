@@ -29,6 +29,8 @@ def test_pairs_equal_brute_force(spark):
     got = {tuple(r) for r in copy_pairs(classes, key="row_no").collect()}
     want = {(a[0], b[0]) for a, b in itertools.combinations(sorted(rows), 2) if a[1] is not None and b[1] is not None and a[2] is not None and a[2:4] == b[2:4] and fold(a[1]) == fold(b[1])}
     assert got == want
+    by_joins = copy_classes(df, key="row_no", name="act", ignore=["received"], required=["ts"], gather=1)
+    assert {tuple(r) for r in by_joins.collect()} == {tuple(r) for r in classes.collect()}
     once = {r.row_no: r.n_copies for r in collapsed(df, classes, key="row_no").collect()}
     assert sum(once.values()) == len(rows) and once[1000] == once[1001] == once[1002] == 1 and once[1003] == 2
 
