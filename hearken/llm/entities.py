@@ -44,7 +44,7 @@ RULES = (
 )
 
 #: Labelled outcomes of each rule, (right, wrong): distinct pairs of names drawn at random and judged by hand. Used where no labels are given.
-LABELLED = dict(zip((name for name, _, _ in RULES), ((12, 0), (14, 0), (14, 0), (14, 0), (26, 0), (26, 0), (14, 0), (26, 0), (26, 0), (7, 0)), strict=True))
+LABELLED = dict(zip((name for name, _, _ in RULES), ((12, 0), (14, 0), (14, 0), (14, 0), (26, 0), (26, 0), (26, 0), (26, 0), (7, 0), (20, 0)), strict=True))
 
 
 def confidence(right: float, wrong: float, *, prior: float = 0.5, weight: float = 2.0) -> float:
@@ -107,8 +107,8 @@ def near(word: str, other: str) -> bool:
     """Whether one is the other with a slip: two edits, one in words under five letters, none in single letters; figures don't slip, and an s at the end isn't one."""
     if word == other:
         return True
-    if other in _SPELT and word.isalpha():
-        return any(typos(word, spelt, 1) <= 1 for spelt in _SPELT[other] if len(spelt) > 3)
+    if word.isalpha() and any(len(spelt) > 3 and typos(word, spelt, 1) <= 1 for spelt in _SPELT.get(other, ())):
+        return True
     if any(c.isdigit() for c in other) or len(other) < 2 or word == other + "s":
         return False
     most = 1 if len(other) < 5 else 2

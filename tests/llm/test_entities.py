@@ -70,5 +70,5 @@ def test_parts():
     names = [n for n, _, _ in RULES]
     pooled = confidences({names[0]: (2, 0), names[1]: (20, 0), names[2]: (3, 3)})
     assert pooled[names[0]] == pooled[names[1]] > pooled[names[2]] >= pooled[names[3]] and list(pooled) == names
-    assert near("timbr", "timber") and not near("kilns", "kiln") and not near("no4", "no3")
+    assert near("na", "no") and near("eleen", "11") and not near("five", "9") and near("timbr", "timber") and not near("kilns", "kiln") and not near("no4", "no3")
     assert Keys([(1, "The Ox", "B")]).act("ox, the")[1] == "theox"
