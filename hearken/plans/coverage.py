@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from hearken.operators import history as H
 from hearken.operators import timeline as L
 from hearken.plans.catalog import AKEY_SQL, BUCKET_SQL, CORE_SQL, KEY_SQL, MARKS_SQL, PLAIN_SQL, TITLE_SQL, _TRACK, _ledger
 from hearken.plans.history import ALBUMS_SQL, E_SQL, LAST_URI_SQL, STORIES_SQL, _episodes_sql, events
-from hearken.session import shared_folder
+from hearken.session import fresh_path
 from hearken.sources import exports as X
 from hearken.sources.tables import table
 
@@ -32,10 +31,6 @@ def query(name: str, sql: str) -> Callable:
     return keep
 
 
-def _written(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # Rankings
 
 
@@ -270,7 +265,7 @@ def _(spark, folder):
 
 @query("ledger_round_trip", "SELECT strftime(posted_at, '%Y-%m-%dT%H:%M:%SZ') AS stamp, artist, source AS recipe, count(*) AS n FROM documents WHERE artist IS NOT NULL AND trim(artist) <> '' GROUP BY ALL")
 def _(spark, folder):
-    path = _written(spark, "ledger")
+    path = fresh_path(spark, "ledger")
     rows = _ledger(spark, folder).select("artist", F.col("ts").alias("title"), "recipe")
     sinks.append_ledger(sinks.ledger_rows(rows, now="2026-01-01T00:00:00Z", recipe="none"), path)
     return X.ledger(spark, path).groupBy(F.col("title").alias("stamp"), "artist", "recipe").agg(F.count(F.lit(1)).alias("n"))
@@ -278,7 +273,7 @@ def _(spark, folder):
 
 @query("table_round_trip", "SELECT CAST(list_rank AS VARCHAR) AS list_rank, artist || chr(10) || '\"' || album || '\"' AS both, CAST(row_number() OVER (ORDER BY list_rank) - 1 AS BIGINT) AS ord FROM paste300_albums")
 def _(spark, folder):
-    path = _written(spark, "table")
+    path = fresh_path(spark, "table")
     rows = table(spark, folder, "paste300_albums").orderBy("list_rank").select("list_rank", F.concat("artist", F.lit('\n"'), "album", F.lit('"')).alias("both"))
     rows.write.option("header", True).option("escape", '"').csv(path)
     return X.table_file(spark, path).select("list_rank", "both", "ord")
@@ -286,14 +281,14 @@ def _(spark, folder):
 
 @query("picks_round_trip", "SELECT artist, CASE WHEN list_rank % 2 = 0 THEN album END AS title, CAST(NULL AS VARCHAR) AS uri FROM paste300_albums")
 def _(spark, folder):
-    path = _written(spark, "picks")
+    path = fresh_path(spark, "picks")
     table(spark, folder, "paste300_albums").select(F.concat_ws("\t", "artist", F.when(F.col("list_rank") % 2 == 0, F.col("album")).otherwise(" "))).write.text(path)
     return X.picks(spark, path)
 
 
 @query("list_round_trip", "SELECT entry AS value FROM tag_buckets")
 def _(spark, folder):
-    path = _written(spark, "list")
+    path = fresh_path(spark, "list")
     entries = table(spark, folder, "tag_buckets").select(F.explode(F.array(F.concat(F.lit("  "), "entry"), F.concat(F.lit("# "), "entry"), F.lit(" "))).alias("value"))
     entries.write.text(path)
     return X.lines(spark, path)

@@ -39,22 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/hearken-{spark.sparkContext.applicationId}"
 
 
-#: Folders written by :func:`cut`, by application.
+#: Paths given out by :func:`fresh_path`, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses; :func:`release` deletes what is written there."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_all)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: its lineage ends in files that outlive any executor.
 
     The files stay until :func:`release` or the end of the process, as results that read them are lazy.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_release_all)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
