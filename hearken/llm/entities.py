@@ -44,7 +44,7 @@ RULES = (
 )
 
 #: Labelled outcomes of each rule, (right, wrong): distinct pairs of names drawn at random and judged by hand. Used where no labels are given.
-LABELLED = dict(zip((name for name, _, _ in RULES), ((12, 0), (14, 0), (14, 0), (14, 0), (26, 0), (26, 0), (26, 0), (26, 0), (7, 0), (20, 0)), strict=True))
+LABELLED = dict(zip((name for name, _, _ in RULES), ((12, 0), (14, 0), (14, 0), (14, 0), (26, 0), (26, 0), (20, 0), (26, 0), (26, 0), (7, 0)), strict=True))
 
 
 def confidence(right: float, wrong: float, *, prior: float = 0.5, weight: float = 2.0) -> float:
