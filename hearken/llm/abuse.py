@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -56,7 +57,7 @@ EVERYDAY = frozenset("close cold cook dock fold food fool home hold house lose m
 
 _TAG = re.compile(r"<[^<>]{0,400}>")
 _UNSEEN = regex.compile(r"\p{Cf}+")
-_STOP = re.compile(r"[.!?…](?:\s+|(?<=[a-z][.!?])(?=[A-Z]))|[。！？\n\r]+")
+_STOP = re.compile(r"[.!?…。！？\n\r](?:(?<=[.!?…])(?:\s+|(?<=[a-z][.!?])(?=[A-Z]))|(?<=[。！？\n\r])[。！？\n\r]*)")
 _IN = r"(?:[\w@$*]|[!|](?=[\w@$*]))+"
 _TOKEN = re.compile(rf"{_IN}(?:['’\-.]{_IN})*")
 _SPELT = re.compile(r"(?<!\w)(?:\w[\-. ]){2,}\w(?!\w)")
@@ -80,12 +81,15 @@ def _repairs() -> dict[str, list[str]]:
     return by
 
 
-#: A word, its hash, and the kinds of word it is (bits of :data:`KINDS`).
+#: A word, its hash, and the kinds of word it is (bits of :data:`KINDS`, then of :data:`NEEDS` for its parts).
 Token = tuple[str, int, int]
 
 
 def as_token(word: str) -> Token:
-    return word, zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, sum(1 << i for i, kind in enumerate(KINDS) if word in kind)
+    kinds = _WHOLE.get(word, 0)
+    for part in (word,) if word.isalnum() else re.split(r"\W+", word):
+        kinds |= _PART.get(part, 0)
+    return word, zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF, kinds
 
 
 class Speller:
@@ -141,35 +145,115 @@ def _joined_up(text: str) -> str:
     return _SPELT.sub(lambda m: re.sub(r"[\-. ]", "", m[0]), text) if len(text) > 4 else text
 
 
-def sentences(text: str) -> Iterator[list[str]]:
-    """The sentences of a text in one case, without accents, cut at blanks."""
+#: Chunks that end a sentence and a text; no text can hold them.
+_CUT, _END = "\ud800", "\ud801"
+#: Characters read at once, and chunks remembered.
+AT_ONCE, REMEMBERED = 400_000, 300_000
+
+
+def _unmarked(text: str | None) -> str:
+    """A text without markup and invisible characters."""
+    if not text:
+        return ""
     plain = html.unescape(text) if "&" in text else text
     plain = _TAG.sub(" ", plain) if "<" in plain else plain
-    if not plain.isascii():
-        plain = _UNSEEN.sub("", unicodedata.normalize("NFKC", plain))
-    for sentence in _STOP.split(plain):
-        folded = sentence.casefold()
-        if not folded.isascii():
-            folded = "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
-        chunks = folded.split()
-        if len(chunks) > 2 and min(map(len, chunks)) == 1 and sum(len(c) == 1 for c in chunks) > 2:
-            chunks = _joined_up(" ".join(chunks)).split()
-        yield chunks
+    return plain if plain.isascii() else _UNSEEN.sub("", unicodedata.normalize("NFKC", plain))
+
+
+def _folded(chunk: str) -> str:
+    """One case, without accents."""
+    folded = chunk.casefold()
+    return folded if folded.isascii() else "".join(c for c in unicodedata.normalize("NFKD", folded) if not unicodedata.combining(c))
+
+
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+@dataclass
+class Units:
+    """Units of many texts, one after the other: units of each text, words of each unit, votes of each unit, and the words' hashes."""
+
+    counts: np.ndarray
+    lens: np.ndarray
+    marks: np.ndarray
+    hashes: np.ndarray
+    words: list[str]
+
+
+class Reader(dict):
+    """Numbers of the chunks (stretches without blanks) met so far; texts are read many at once by looking up what is known of each chunk."""
+
+    def __init__(self, spell: Speller) -> None:
+        super().__init__()
+        self.spell = spell
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.forms: list[str] = []
+        self.words: list[str] = []
+        #: Of each chunk: its first word, how many it has, and its letters that stand alone; of each word: its hash and kinds.
+        self.first, self.many, self.alone, self.hashes, self.kinds = array("q"), array("q"), array("q"), array("i"), array("q")
+        for end in (_CUT, _END):
+            self[end] = self._number("", [])
+
+    def _number(self, form: str, tokens: list[Token]) -> int:
+        self.forms.append(form)
+        self.first.append(len(self.words))
+        self.many.append(len(tokens))
+        self.alone.append(sum(len(c) == 1 for c in form.split()))
+        for word, code, kinds in tokens:
+            self.words.append(word)
+            self.hashes.append(code)
+            self.kinds.append(kinds)
+        return len(self.forms) - 1
+
+    def __missing__(self, chunk: str) -> int:
+        form = _folded(chunk)
+        self[chunk] = number = self._number(form, [t for c in form.split() for t in self.spell(c)])
+        return number
+
+    def read(self, texts: Sequence[str | None]) -> Units:
+        """The sentences of texts in plain spelling; longer ones as overlapping runs of words."""
+        if len(self) > REMEMBERED:
+            self.forget()
+        chunks = _STOP.sub(f" {_CUT} ", "".join(f"{_unmarked(t)} {_END} " for t in texts)).split()
+        ids = self._spelt(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
+        first, many, codes, kinds = (np.array(a) for a in (self.first, self.many, self.hashes, self.kinds))
+        ends = np.flatnonzero(ids < 2)
+        of_text = np.cumsum(ids[ends] == 1) - (ids[ends] == 1)
+        sizes = many[ids]
+        upto = np.append(0, np.cumsum(sizes))[ends]
+        size = np.diff(upto, prepend=0)
+        runs = np.where(size > UNIT, (size - 1) // STEP, np.minimum(size, 1))
+        skipped = STEP * _ranges(np.zeros(len(runs), dtype=np.int64), runs)
+        lens = np.minimum(UNIT, np.repeat(size, runs) - skipped)
+        said = _ranges(first[ids], sizes)[_ranges(np.repeat(upto - size, runs) + skipped, lens)]
+        marks = _marks(kinds[said], lens, lambda a, b: [self.words[i] for i in said[a:b].tolist()])
+        return Units(np.bincount(np.repeat(of_text, runs), minlength=len(texts)), lens, marks, codes[said], [self.words[i] for i in said.tolist()] if len(texts) == 1 else [])
+
+    def _spelt(self, ids: np.ndarray) -> np.ndarray:
+        """The chunks with words spelt out letter by letter as one."""
+        ends = np.flatnonzero(ids < 2)
+        alone = np.add.reduceat(np.array(self.alone)[ids], np.append(0, ends[:-1] + 1))
+        out, done = [], 0
+        for i in np.flatnonzero(alone > 2).tolist():
+            a, b = int(ends[i - 1]) + 1 if i else 0, int(ends[i])
+            plain = " ".join(c for j in ids[a:b].tolist() for c in self.forms[j].split())
+            joined = _joined_up(plain)
+            if joined != plain:
+                out += [ids[done:a], np.array([self[c] for c in joined.split()], dtype=np.int64)]
+                done = b
+        return np.concatenate([*out, ids[done:]]) if out else ids
 
 
 def units(text: str, spell: Speller) -> list[list[Token]]:
-    """The sentences of a text in plain spelling; longer ones as overlapping runs of words."""
-    out = []
-    known = spell.memo
-    for chunks in sentences(text):
-        words: list[Token] = []
-        for c in chunks:
-            words += known.get(c) or spell(c)
-        if len(words) > UNIT:
-            out += [words[i : i + UNIT] for i in range(0, len(words) - UNIT + STEP, STEP)]
-        elif words:
-            out.append(words)
-    return out
+    """The units of one text."""
+    found = Reader(spell).read([text])
+    words = iter(found.words)
+    return [[as_token(next(words)) for _ in range(n)] for n in found.lens.tolist()]
 
 
 def _near(words: list[str], a: frozenset, b: frozenset, reach: int) -> bool:
@@ -218,24 +302,64 @@ WEAK = frozenset("back die get go nobody one".split())
 TRIGGERS = LEXICON | INSULTS | DEGRADING | SEXUAL | VIOLENT | VERMIN | FOREIGN | BODY | BARE | CAST_OUT | frozenset("ashamed bed clothes crawl dead drop dumb hate human lost low out rot shut sick suffer thick trust".split())
 
 
-#: Kinds of words that decide a unit's votes, but for the votes of units with a trigger.
-KINDS = (TRIGGERS, MUSIC, MENTION, RULE, PRAISE, YOU, WEAK)
+#: Kinds of words that decide votes by themselves.
+KINDS = (TRIGGERS, MUSIC, MENTION, RULE, PRAISE, YOU, WEAK, INSULTS, OBSCENE)
+_DEGRADED = DEGRADING | frozenset({"dumb", "low", "thick"})
+#: Of each voter that goes by the order of words: lists of which words, or parts of words, must stand in any unit it votes on.
+NEEDED: dict[str, tuple[frozenset[str], ...]] = {
+    "insult beside you": (INSULTS, YOU),
+    "degrading word beside you": (DEGRADING, YOU),
+    "degrading word before insult": (_DEGRADED, INSULTS),
+    "people called by an insult": (frozenset("what such you these those bunch pack full".split()), INSULTS | VERMIN),
+    "order to be silent or go": (frozenset("shut get crawl go drop kill".split()),),
+    "threat": (frozenset("will should shall gonna going".split()), VIOLENT, frozenset("you your them him her those these".split())),
+    "harm deserved": (frozenset("deserve deserves ought need needs should hope".split()), VIOLENT | frozenset("dead shot die rot suffer".split())),
+    "people as vermin": (VERMIN, THEM | frozenset({"are", "breed", "like"})),
+    "people cast out": (CAST_OUT, THEM | frozenset({"people", "country", "here", "human"})),
+    "nobody wants you": (frozenset("nobody one ashamed sick hate human trust".split()), frozenset("you than never".split())),
+    "too low to": (frozenset({"too", "so"}), _DEGRADED),
+    "sexual words": (SEXUAL,),
+    "body laid bare": (BODY | frozenset({"clothes", "bed"}), SEXUAL | BARE),
+    "sexual offer": (BARE | SEXUAL, SHOWN),
+    "abuse in other languages": (FOREIGN,),
+    "about oneself": (INSULTS | DEGRADING, SELF),
+}
+NEEDS = list(dict.fromkeys(need for needs in NEEDED.values() for need in needs))
+_BIT = {need: 1 << len(KINDS) + i for i, need in enumerate(NEEDS)}
+_WHOLE = {word: sum(1 << i for i, kind in enumerate(KINDS) if word in kind) for word in frozenset().union(*KINDS)}
+_PART = {word: sum(bit for need, bit in _BIT.items() if word in need) for word in frozenset().union(*NEEDS)}
+
+
+def _marks(kinds: np.ndarray, lens: np.ndarray, words: Callable[[int, int], list[str]]) -> np.ndarray:
+    """Bit masks of the voters that vote on units, from the kinds of their words and, where order matters, the words between two places."""
+    marks = np.zeros(len(lens), dtype=np.int32)
+    if not len(lens):
+        return marks
+    ends = np.cumsum(lens)
+    met = np.bitwise_or.reduceat(kinds, ends - lens)
+    trigger, music, mention, rule, praise, you, _, insult, obscene = ((met >> i) & 1 == 1 for i in range(len(KINDS)))
+    told = trigger | (met & 96 == 96)
+    alone = {"little but an insult": told & insult & (lens <= 4), "obscene word": told & obscene, "about music": music & ~you, "a mention": mention, "a rule or a study": rule, "praise": praise}
+    seen: dict[int, tuple[str, list[str]]] = {}
+    for v, (name, _, when) in enumerate(VOTERS):
+        if name in alone:
+            marks |= alone[name].astype(np.int32) << v
+            continue
+        may = told.copy()
+        for need in NEEDED[name]:
+            may &= met & _BIT[need] != 0
+        for i in np.flatnonzero(may).tolist():
+            if i not in seen:
+                said = words(int(ends[i] - lens[i]), int(ends[i]))
+                seen[i] = " ".join(said), said
+            if when(*seen[i]):
+                marks[i] |= 1 << v
+    return marks
 
 
 def votes(unit: Sequence[Token]) -> int:
     """Bit mask of the voters that vote on a unit."""
-    kinds = 0
-    for token in unit:
-        kinds |= token[2]
-    if kinds & 1 or kinds & 96 == 96:
-        words = [token[0] for token in unit]
-        text = " ".join(words)
-        return sum(1 << i for i, (_, _, when) in enumerate(VOTERS) if when(text, words))
-    return _CALM[kinds]
-
-
-#: Votes of units without a trigger, by the kinds of their words.
-_CALM = [sum(1 << i for i, (name, _, _) in enumerate(VOTERS) if (name == "about music" and k & 2 and not k & 32) or (name == "a mention" and k & 4) or (name == "a rule or a study" and k & 8) or (name == "praise" and k & 16)) for k in range(1 << len(KINDS))]
+    return int(_marks(np.array([t[2] for t in unit], dtype=np.int64), np.array([len(unit)]), lambda a, b: [t[0] for t in unit[a:b]])[0])
 
 
 @dataclass
@@ -412,22 +536,13 @@ def score_texts(docs: DataFrame, *, key: str, text: str, labels: DataFrame | Non
     own_words = _own_words(docs.select(F.col(text).alias("t")))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Speller(own_words)
+        read = Reader(Speller(own_words)).read
         for b in batches:
-            marks: list[int] = []
-            codes: list[int] = []
-            lens: list[int] = []
-            counts: list[int] = []
-            for t in b.column(1).to_pylist():
-                us = units(t, spell) if t else []
-                counts.append(len(us))
-                for u in us:
-                    marks.append(votes(u))
-                    lens.append(len(u))
-                    codes += [w[1] for w in u]
-            of_text = _offsets(counts)
-            said = pa.ListArray.from_arrays(_offsets(lens), pa.array(codes, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(of_text, pa.array(marks, pa.int32())), pa.ListArray.from_arrays(of_text, said)], names=["k", "vs", "hs"])
+            for part in _slices(b):
+                us = read(part.column(1).to_pylist())
+                of_text = _offsets(us.counts)
+                said = pa.ListArray.from_arrays(_offsets(us.lens), pa.array(us.hashes))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(of_text, pa.array(us.marks)), pa.ListArray.from_arrays(of_text, said)], names=["k", "vs", "hs"])
 
     said = cut(texts.mapInArrow(split, f"k {kind}, vs array<int>, hs array<array<int>>"))
     rated = said.withColumn("g", F.lit(None).cast("int"))
@@ -458,10 +573,18 @@ def score_texts(docs: DataFrame, *, key: str, text: str, labels: DataFrame | Non
     return said.mapInArrow(judge, f"`{key}` {kind}, score double")
 
 
-def _offsets(lens: list[int]) -> pa.Array:
+def _offsets(lens: np.ndarray) -> pa.Array:
     return pa.array(np.append(0, np.cumsum(lens, dtype=np.int64)).astype(np.int32))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts in parts of about :data:`AT_ONCE` bytes, each text whole."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // AT_ONCE, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _own_words(texts: DataFrame, *, share: float = 0.3) -> frozenset[str]:
     """Words one slip from a listed one that are as frequent in the texts as words, not slips, are.
 

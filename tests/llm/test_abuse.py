@@ -1,6 +1,7 @@
 import random
 
-from hearken.llm.abuse import EVERYDAY, POSITIVE, Speller, as_token, best_threshold, fit_labels, score_texts, units, votes
+from hearken.llm import abuse
+from hearken.llm.abuse import EVERYDAY, POSITIVE, UNIT, VOTERS, Reader, Speller, as_token, best_threshold, fit_labels, score_texts, units, votes
 
 BAD = ["You are too stupid to breathe.", "Shut your filthy mouth, moron.", "Those people breed like rats, wipe them out.", "He lay naked between her thighs, ready to fuck.", "I will come and break your face, loser.", "Get lost, you pathetic clown."]
 GOOD = ["They murdered that cover, and I mean it as the highest praise.", "Dirty bass, filthy groove, I would die for that breakdown.", "What a stupid mistake I made with my playlist.", "The song is called Idiot Parade.", "The lyric quotes an old threat, I will break your heart."]
@@ -61,3 +62,20 @@ def test_accuracies_decide():
     # a voter that raters nearly always find wrong loses its say, even where it's the only one to vote
     poor = fit_labels({(0, None): 9000, (insult, None): 60, (cast, 0): 300, (cast, None): 300})
     assert poor.posterior(cast) < 0.5 < poor.posterior(insult)
+
+
+def test_many_texts_at_once(monkeypatch):
+    texts = [None, "", *BAD, "word " * 60 + "you idiot", *GOOD, "n o b o d y wants you. T-h-o-s-e rats!!", "x-stupid idiot's \x01 you", "Été ﬁlthy; YÓU!No.Stop\n\nß ß ß"] * 2
+    asked = []
+    monkeypatch.setattr(abuse, "VOTERS", [(name, side, lambda t, w, name=name, when=when: asked.append(name) or when(t, w)) for name, side, when in VOTERS])
+    read = Reader(Speller()).read(texts)
+    each = [units(t, Speller()) for t in texts]
+    flat = [u for us in each for u in us]
+    assert read.counts.tolist() == [len(us) for us in each] and read.lens.tolist() == [len(u) for u in flat] and max(read.lens) == UNIT
+    assert read.hashes.tolist() == [code for u in flat for _, code, _ in u]
+    for u, mark in zip(flat, read.marks.tolist(), strict=True):
+        words = [w for w, _, _ in u]
+        assert mark == sum(1 << v for v, (_, _, when) in enumerate(VOTERS) if when(" ".join(words), words)), words
+    # voters that go by the order of words are asked only where a unit has what they need
+    asked.clear()
+    assert Reader(Speller()).read(PLAIN + GOOD[3:4]).marks.any() and set(asked) <= {"about oneself"}
