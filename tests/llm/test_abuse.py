@@ -1,5 +1,9 @@
+import itertools
+import math
 import random
 
+import numpy as np
+
 from hearken.llm import abuse
 from hearken.llm.abuse import EVERYDAY, POSITIVE, UNIT, VOTERS, Reader, Speller, as_token, best_threshold, fit_labels, score_texts, units, votes
 
@@ -79,3 +83,42 @@ def test_many_texts_at_once(monkeypatch):
     # voters that go by the order of words are asked only where a unit has what they need
     asked.clear()
     assert Reader(Speller()).read(PLAIN + GOOD[3:4]).marks.any() and set(asked) <= {"about oneself"}
+
+
+def test_all_sentences_are_fitted_on(spark, monkeypatch):
+    seen = {}
+
+    def fit(over_all, prior):
+        loss, slope, _ = over_all(np.zeros(abuse.PLACES), True)
+        seen.update(loss=loss, slope=slope)
+        return plain(over_all, prior, passes=2)
+
+    plain = abuse.fit_linear
+    monkeypatch.setattr(abuse, "fit_linear", fit)
+    df = spark.range(15_000).selectExpr("id", "concat('You pathetic moron. Fine album. I heard side ', id, ' twice.') AS body").repartition(3)
+    scores = {r.id: r.score for r in score_texts(df, key="id", text="body").collect()}
+    # without weights every sentence loses the same
+    assert abs(seen["loss"] - 45_000 * math.log(2)) < 0.1 and len(scores) == 15_000
+    slope = seen["slope"]
+    again = {r.id: r.score for r in score_texts(df.repartition(5, "body"), key="id", text="body").collect()}
+    assert (seen["slope"] == slope).all() and again == scores
+
+
+def test_threshold_counts_all_labels(spark):
+    many = spark.range(260_000).selectExpr("id", "CASE WHEN id >= 200000 THEN 0.3D WHEN id % 2 = 0 THEN 0.9D ELSE 0.1D END AS score", "CAST(id >= 200000 OR id % 2 = 0 AS INT) AS y")
+    assert abs(best_threshold(many.select("id", "score"), many.select("id", "y"), key="id", label="y") - 0.2) < 1e-9
+    rng = random.Random(3)
+    for size, span in ((1, 1), (40, 9), (300, 1000)):
+        rows = [(i, rng.randint(0, span) / span, rng.randint(0, 1)) for i in range(size)]
+        df = spark.createDataFrame([*rows, (size, 0.5, None)], "id int, score double, y int")
+        assert best_threshold(df.select("id", "score"), df.select("id", "y"), key="id", label="y") == plain_threshold([r[1:] for r in rows])
+
+
+def plain_threshold(pairs):
+    right = sum(y for _, y in pairs)
+    grid = sorted({0.0, 1.0, *(s for s, _ in pairs)})
+    best = []
+    for low, high in itertools.pairwise(grid):
+        found = [y for s, y in pairs if s >= (low + high) / 2]
+        best.append((round(2 * sum(found) / (len(found) + right), 9) if right else 0.0, high - low, (low + high) / 2))
+    return max(best)[2] if right else 0.5
